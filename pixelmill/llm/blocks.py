@@ -99,12 +99,12 @@ def _table(rows, schema):
 def judged(docs: DataFrame, rule, schema: str, blocks: int | None = None, hot_runs: int = 4096) -> DataFrame:
     """``rule.finish`` applied to every block of ``docs`` (doc_id, text) with the verdicts on its windows.
 
-    blocks: how many blocks documents are dealt into; 8 per shuffle partition unless
+    blocks: how many blocks documents are dealt into; 4 per shuffle partition unless
     given. hot_runs: a minimiser with more packed strings than this is cut finer.
     """
     spark = docs.sparkSession
     many = partitions(spark)
-    blocks = blocks or 8 * many
+    blocks = blocks or 4 * many
     source = with_id(docs).select("_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartition(many, "block")
     cell = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
     cells = "bucket int, block int, a binary, b binary, c binary, d binary, e binary"
