@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pixelmill.llm import substring_dedup, suffix_dedup
+from pixelmill.llm import bpe, decontaminate, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def queries():
     return {
         "op1_suffix_dedup": suffix_dedup.op1,
+        "op2_decontaminate": decontaminate.op2,
         "op3_substring_dedup": substring_dedup.op3,
+        "op5_bpe": bpe.op5,
+        "op6_token_counts": token_counts.op6,
+        "op9_simhash": simhash.op9,
     }
 
 

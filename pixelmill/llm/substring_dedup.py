@@ -27,10 +27,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words_of(data: np.ndarray, at: np.ndarray):
+def words_of(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE):
     """First and last+1 byte of each word, and the number of words before each document."""
     inside = np.zeros(len(data) + 1, np.int8)
-    inside[: len(data)] = ~SPACE[data]
+    inside[: len(data)] = ~space[data]
     opens = inside[:-1].astype(bool)
     opens[1:] &= inside[:-2] == 0
     starts = at[:-1][at[:-1] < len(data)]
