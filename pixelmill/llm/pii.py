@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import cut, drop_cut
 
 KEY = "pixelmill-test-key"
+SHORT = 3  # attempts after which a short name or address gets letters added, as its shape may have too few values
+ATTEMPTS = 40
 MOST_BROADCAST = 10_000  # documents with a redrawn entity; more are joined by a shuffle
 
 # What is detected, in the order in which a match is named.
@@ -48,6 +50,11 @@ LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмноп
 GIVEN = {("m", "latin"): "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Louis Marc Nils Oscar Paul".split(), ("f", "latin"): "Anna Berta Clara Dora Emma Flora Greta Helena Ida Julia Klara Laura Maria Nora Olga Paula".split(), ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь".split(), ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Зоя Ирина Ольга".split()}
 
 
+def let(value, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def kind_of(entity: Column) -> Column:
     """The name of the first pattern that fits the whole of a match."""
     found = F.lit(None).cast("string")
@@ -59,41 +66,50 @@ def kind_of(entity: Column) -> Column:
 
 def normal(kind: Column, entity: Column) -> Column:
     """What makes two entities of a kind the same."""
-    digits = F.regexp_replace(entity, r"[^0-9]", "")
+    gender = F.when(entity.rlike(f"^(?:{HER})[. ]"), "f ").otherwise("m ")
     return (
         F.when(kind == "secret", F.regexp_replace(entity, "^" + PREFIX, ""))
         .when(kind == "email", F.lower(entity))
-        .when(kind.isin("card", "phone", "national_id"), digits)
+        .when(kind.isin("card", "phone", "national_id"), F.regexp_replace(entity, r"[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind == "name", F.concat(F.when(entity.rlike(f"^(?:{HER})[. ]"), "f ").otherwise("m "), F.regexp_replace(F.regexp_replace(entity, rf"^(?:{HIM}|{HER})\.?\s", ""), r"\s+", " ")))
+        .when(kind == "name", F.concat(gender, F.regexp_replace(F.regexp_replace(entity, rf"^(?:{HIM}|{HER})\.?\s", ""), r"\s+", " ")))
         .otherwise(entity)
     )
 
 
-def _draw(seed: Column, i, among: int) -> Column:
-    """A number below ``among`` from the seed and a place."""
-    return (F.conv(F.substring(F.sha2(F.concat(seed, F.lit(":"), i.cast("string")), 256), 1, 12), 16, 10).cast("long") % among).cast("int")
+def named(entity: Column) -> Column:
+    """A struct of entity, kind and normal form."""
+    return let(F.struct(entity.alias("e"), kind_of(entity).alias("kind")), lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), normal(x["kind"], x["e"]).alias("norm")))
+
+
+def _number(seed: Column, i) -> Column:
+    """A number from the seed and a place."""
+    return F.conv(F.substring(F.sha2(F.concat(seed, F.lit(":"), i.cast("string")), 256), 1, 12), 16, 10).cast("long")
 
 
-def _letter(alphabet: str, seed: Column, i) -> Column:
-    return F.substring(F.lit(alphabet), _draw(seed, i, len(alphabet)) + 1, F.lit(1))
+def _draw(seed: Column, i: int, among: int) -> Column:
+    return (_number(seed, F.lit(i)) % among).cast("int")
 
 
 def shaped(text: Column, seed: Column) -> Column:
     """A string of the same shape: digits, small and capital letters stay what they are, the rest stays."""
 
-    def one(i):
-        c = F.substring(text, i, F.lit(1))
+    def letter(alphabet, n):
+        return F.substring(F.lit(alphabet), (n % len(alphabet)).cast("int") + 1, F.lit(1))
+
+    def drawn(x):
+        c, n = x["c"], x["n"]
         return (
-            F.when(c.rlike("^[0-9]$"), _draw(seed, i, 10).cast("string"))
-            .when(c.rlike("^[a-z]$"), _letter(LATIN, seed, i))
-            .when(c.rlike("^[A-Z]$"), _letter(LATIN.upper(), seed, i))
-            .when(c.rlike("^[а-я]$"), _letter(CYRILLIC, seed, i))
-            .when(c.rlike("^[А-Я]$"), _letter(CYRILLIC.upper(), seed, i))
+            F.when(c.rlike("^[0-9]$"), (n % 10).cast("string"))
+            .when(c.rlike("^[a-z]$"), letter(LATIN, n))
+            .when(c.rlike("^[A-Z]$"), letter(LATIN.upper(), n))
+            .when(c.rlike("^[а-я]$"), letter(CYRILLIC, n))
+            .when(c.rlike("^[А-Я]$"), letter(CYRILLIC.upper(), n))
             .otherwise(c)
         )
 
-    return F.when(F.length(text) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
+    places = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i > 0)
+    return F.array_join(F.transform(places, lambda i: let(F.struct(F.substring(text, i, F.lit(1)).alias("c"), _number(seed, i).alias("n")), drawn)), "")
 
 
 def checked(digits: Column) -> Column:
@@ -101,8 +117,7 @@ def checked(digits: Column) -> Column:
 
     def term(i):
         d = F.substring(digits, i, F.lit(1)).cast("int")
-        doubled = d * 2 - F.when(d > 4, 9).otherwise(0)
-        return F.when((F.length(digits) - i) % 2 == 1, doubled).otherwise(d)
+        return F.when((F.length(digits) - i) % 2 == 1, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
 
     total = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(digits) - 1), term), F.lit(0), lambda a, b: a + b)
     return F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), ((10 - total % 10) % 10).cast("string"))
@@ -110,37 +125,43 @@ def checked(digits: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate, in normal form, that an attempt draws for an entity."""
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
-    some = shaped(norm, seed)
-    host = F.regexp_extract(norm, r"@([^.]*)", 1)
-    octets = F.concat_ws(".", *[(_draw(seed, F.lit(i), 254) + 1).cast("string") for i in range(4)])
-    words = F.regexp_replace(norm, r"^[mf] ", "")
-    cyrillic = words.rlike("[А-я]")
+
+    def from_seed(seed):
+        octets = F.concat_ws(".", *[(_draw(seed, i, 254) + 1).cast("string") for i in range(4)])
+        rest = lambda first: F.substring(shaped(norm, seed), F.lit(first), F.length(norm))
+        local = shaped(F.regexp_extract(norm, r"^[^@]*", 0), seed)
+        host = shaped(F.regexp_extract(norm, r"@([^.]*)", 1), F.concat(seed, F.lit("host")))
+        more = F.when(attempt >= SHORT, shaped(F.lit("abcdefgh"), F.concat(seed, F.lit("more")))).otherwise("")
+        return (
+            F.when(kind == "email", F.concat(local, more, F.lit("@"), host, F.lit(".example.org")))
+            .when(kind == "ipv4", octets)
+            .when(kind == "access_key", F.concat(F.lit("AKIA"), rest(5)))
+            .when(kind == "card", let(F.concat(F.substring(norm, 1, 1), rest(2)), checked))
+            .when(kind == "national_id", F.concat(F.lit("9"), rest(2)))
+            .when(kind == "phone", F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), (_draw(seed, 0, 8) + 2).cast("string"), F.substring(shaped(norm, seed), -9, 9)))
+            .when(kind == "iban", F.concat(F.substring(norm, 1, 2), rest(3)))
+            .when(kind == "name", F.concat(F.substring(norm, 1, 2), let(F.substring(norm, 3, 200), lambda words: _name(F.substring(norm, 1, 1), words, seed)), more))
+            .otherwise(shaped(norm, seed))
+        )
+
+    return let(F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256), from_seed)
+
+
+def _name(gender: Column, words: Column, seed: Column) -> Column:
     given = F.lit("")
-    for (gender, script), names in GIVEN.items():
-        listed = F.element_at(F.array(*map(F.lit, names)), _draw(seed, F.lit(0), len(names)) + 1)
-        given = F.when((F.substring(norm, 1, 1) == gender) & (cyrillic == F.lit(script == "cyrillic")), listed).otherwise(given)
+    for (of, script), names in GIVEN.items():
+        listed = F.element_at(F.array(*map(F.lit, names)), _draw(seed, 0, len(names)) + 1)
+        given = F.when((gender == of) & (words.rlike("[А-я]") == F.lit(script == "cyrillic")), listed).otherwise(given)
     family = shaped(F.element_at(F.split(words, " "), -1), F.concat(seed, F.lit("family")))
-    return (
-        F.when(kind == "email", F.concat(shaped(F.regexp_extract(norm, r"^[^@]*", 0), seed), F.lit("@"), shaped(host, F.concat(seed, F.lit("host"))), F.lit(".example.org")))
-        .when(kind == "ipv4", octets)
-        .when(kind == "access_key", F.concat(F.lit("AKIA"), F.substring(some, F.lit(5), F.lit(16))))
-        .when(kind == "card", checked(F.concat(F.substring(norm, 1, 1), F.substring(some, F.lit(2), F.length(norm)))))
-        .when(kind == "national_id", F.concat(F.lit("9"), F.substring(some, F.lit(2), F.length(norm))))
-        .when(kind == "phone", F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), ((_draw(seed, F.lit(0), 8) + 2).cast("string")), F.substring(some, F.length(norm) - 8, F.lit(9))))
-        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(some, F.lit(3), F.length(norm))))
-        .when(kind == "name", F.concat(F.substring(norm, 1, 2), F.when(words.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family))
-        .otherwise(some)
-    )
+    return F.concat(F.when(words.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
 
 
 def rendered(kind: Column, entity: Column, drawn: Column) -> Column:
     """A surrogate in the format of the entity that it replaces."""
 
     def placed(i):
-        c = F.substring(entity, i, F.lit(1))
         nth = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"[^0-9A-Z]", ""))
-        return F.when(c.rlike("^[0-9A-Z]$"), F.substring(drawn, nth, F.lit(1))).otherwise(c)
+        return let(F.substring(entity, i, F.lit(1)), lambda c: F.when(c.rlike("^[0-9A-Z]$"), F.substring(drawn, nth, F.lit(1))).otherwise(c))
 
     return (
         F.when(kind.isin("card", "phone", "national_id", "iban"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), placed), ""))
@@ -152,20 +173,20 @@ def rendered(kind: Column, entity: Column, drawn: Column) -> Column:
 
 
 def _found(text) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    """All matches of a text, each with its kind and normal form."""
+    return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), named)
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """(kind, norm) of all distinct entities."""
-    each = docs.select(F.explode(_found(F.col("text"))).alias("e")).withColumn("kind", kind_of(F.col("e")))
-    return each.select("kind", normal(F.col("kind"), F.col("e")).alias("norm")).where("kind is not null").distinct()
+    return docs.select(F.explode(_found(F.col("text"))).alias("x")).select("x.kind", "x.norm").where("kind is not null").distinct()
 
 
 def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, attempt, drawn) with distinct surrogates, none of them an entity itself."""
     draw = surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)
     table = cut(found.withColumn("attempt", F.lit(0)).withColumn("drawn", draw))
-    while True:
+    for _ in range(ATTEMPTS):
         several = table.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
         late = table.join(several, ["kind", "drawn"]).where(F.struct("attempt", "norm") != F.col("first")).select("kind", "norm")
         taken = table.select("kind", "norm", "drawn").join(found.select("kind", F.col("norm").alias("drawn")), ["kind", "drawn"], "left_semi").select("kind", "norm")
@@ -180,6 +201,7 @@ def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
         drop_cut(table)
         drop_cut(again)
         table = new
+    raise ValueError(f"some format has too few values for its entities: {ATTEMPTS} attempts left clashes")
 
 
 def surrogated(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -187,27 +209,25 @@ def surrogated(docs: DataFrame, key: str = KEY) -> DataFrame:
     names = docs.columns
     docs = docs.withColumn("text", F.col("text").cast("string"))
     exceptions = assigned(cut(entities(docs)), key).where("attempt > 0")
-    first = lambda kind, norm: surrogate(kind, norm, F.lit(0), key)
     redrawn = None
     if not exceptions.isEmpty():
-        each = docs.select("doc_id", "text", F.explode(_found(F.col("text"))).alias("e")).withColumn("kind", kind_of(F.col("e")))
-        each = each.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_name"), F.sha2("text", 256).alias("_sha"), "kind", normal(F.col("kind"), F.col("e")).alias("norm")).distinct()
+        name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        each = docs.select(name.alias("_name"), F.sha2("text", 256).alias("_sha"), F.explode(_found(F.col("text"))).alias("x")).select("_name", "_sha", "x.kind", "x.norm").distinct()
         redrawn = cut(each.join(exceptions, ["kind", "norm"]).groupBy("_name", "_sha").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "drawn"))).alias("_redrawn")))
         small = redrawn.count() <= MOST_BROADCAST
-        docs = docs.withColumns({"_name": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)}).join(F.broadcast(redrawn) if small else redrawn, ["_name", "_sha"], "left")
+        docs = docs.withColumns({"_name": name, "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)}).join(F.broadcast(redrawn) if small else redrawn, ["_name", "_sha"], "left")
 
-    def replace(e):
-        kind = kind_of(e)
-        norm = normal(kind, e)
-        drawn = first(kind, norm)
+    def replaced(x):
+        drawn = surrogate(x["kind"], x["norm"], F.lit(0), key)
         if redrawn is not None:
-            drawn = F.coalesce(F.element_at("_redrawn", F.concat_ws("|", kind, norm)), drawn)
-        return F.coalesce(rendered(kind, e, drawn), e)
-
-    docs = docs.withColumn("_found", F.coalesce(_found(F.col("text")), F.array().cast("array<string>")))
-    gaps = F.split("text", PATTERN, -1)
-    whole = F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.transform("_found", replace), i), F.lit("")))), "")
-    return docs.select(*[F.when(F.size("_found") > 0, whole).otherwise(F.col("text")).alias("text") if n == "text" else F.col(n) for n in names], F.size("_found").cast("long").alias("n_found"), F.array_sort(F.array_distinct(F.transform("_found", kind_of))).alias("kinds"))
+            drawn = F.coalesce(F.element_at("_redrawn", F.concat_ws("|", x["kind"], x["norm"])), drawn)
+        return F.coalesce(let(drawn, lambda d: rendered(x["kind"], x["e"], d)), x["e"])
+
+    docs = docs.withColumn("_found", F.coalesce(_found(F.col("text")), F.array().cast("array<struct<e:string,kind:string,norm:string>>")))
+    ends = F.concat(F.transform("_found", replaced), F.array(F.lit("")))
+    whole = F.array_join(F.transform(F.arrays_zip(F.split("text", PATTERN, -1).alias("gap"), ends.alias("end")), lambda z: F.concat(z["gap"], z["end"])), "")
+    text = F.when(F.size("_found") > 0, whole).otherwise(F.col("text")).alias("text")
+    return docs.select(*[text if n == "text" else F.col(n) for n in names], F.size("_found").cast("long").alias("n_found"), F.array_sort(F.array_distinct(F.col("_found.kind"))).alias("kinds"))
 
 
 def op7(spark, sf_dir) -> DataFrame:
