@@ -17,7 +17,15 @@ class Frame:
     """Size of the images of a column; ints, or columns where it differs by row."""
 
     def __init__(self, height, width):
-        self.h, self.w = (F.lit(x) if isinstance(x, int) else x for x in (height, width))
+        self._size = height, width
+
+    @property
+    def h(self) -> Column:
+        return F.lit(self._size[0]) if isinstance(self._size[0], int) else self._size[0]
+
+    @property
+    def w(self) -> Column:
+        return F.lit(self._size[1]) if isinstance(self._size[1], int) else self._size[1]
 
     def places(self) -> Column:
         return F.sequence(F.lit(0), self.h * self.w - 1)
@@ -34,6 +42,20 @@ def let(value, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bound(operator):
+    """An operator whose image is computed once, however often its pixels are read."""
+
+    def run(v, *rest, **named):
+        return let(v, lambda x: operator(x, *rest, **named))
+
+    run.__name__, run.__doc__ = operator.__name__, operator.__doc__
+    return run
+
+
+def _at(v: Column, i: Column) -> Column:
+    return v[i]
+
+
 def folded(p: Column, n: Column, border: str) -> Column:
     """Index of a place outside 0..n-1: the edge sample repeated, mirrored with or without it."""
     if border == "nearest":
@@ -49,10 +71,11 @@ def folded(p: Column, n: Column, border: str) -> Column:
 def pixel(v: Column, f: Frame, y: Column, x: Column, border: str = "reflect") -> Column:
     if border == "zero":
         inside = (y >= 0) & (y < f.h) & (x >= 0) & (x < f.w)
-        return F.when(inside, F.get(v, (y * f.w + x).cast("int"))).otherwise(F.lit(0.0))
-    return F.get(v, (folded(y, f.h, border) * f.w + folded(x, f.w, border)).cast("int"))
+        return F.when(inside, _at(v, (y * f.w + x).cast("int"))).otherwise(F.lit(0.0))
+    return _at(v, (folded(y, f.h, border) * f.w + folded(x, f.w, border)).cast("int"))
 
 
+@bound
 def stencil(v: Column, f: Frame, taps, border: str = "reflect") -> Column:
     """Sum of ``weight * v[y + dy, x + dx]`` over taps (dy, dx, weight)."""
 
@@ -65,6 +88,7 @@ def stencil(v: Column, f: Frame, taps, border: str = "reflect") -> Column:
     return F.transform(f.places(), one)
 
 
+@bound
 def along(v: Column, f: Frame, kernel, axis: int, border: str) -> Column:
     """One separable pass of an odd kernel along rows (axis 1) or columns (axis 0)."""
     r = len(kernel) // 2
@@ -125,12 +149,13 @@ def gradient(v: Column, f: Frame, method: str) -> Column:
     return both(a, b, lambda p, q: F.sqrt((p * p + q * q) / 2))
 
 
+@bound
 def central_difference(v: Column, f: Frame) -> Column:
     """Half the difference of both neighbours, 0 on the border, as a length."""
 
     def one(i):
         y, x = f.row(i), f.col(i)
-        side = lambda inside, a, b: F.when(inside, (F.get(v, (i + a).cast("int")) - F.get(v, (i - b).cast("int"))) / 2).otherwise(F.lit(0.0))
+        side = lambda inside, a, b: F.when(inside, (_at(v, (i + a).cast("int")) - _at(v, (i - b).cast("int"))) / 2).otherwise(F.lit(0.0))
         gx, gy = side((x > 0) & (x < f.w - 1), 1, 1), side((y > 0) & (y < f.h - 1), f.w, f.w)
         return F.sqrt(gx * gx + gy * gy)
 
@@ -141,12 +166,13 @@ def log_response(v: Column, f: Frame, sigma: float) -> Column:
     return unit_range(F.transform(stencil(gaussian(v, f, sigma), f, LAPLACE), F.abs))
 
 
+@bound
 def _slope(v: Column, f: Frame, axis: int) -> Column:
     """Central differences inside, one-sided ones on the border."""
 
     def one(i):
         p, n, step = (f.row(i), f.h, f.w) if axis == 0 else (f.col(i), f.w, F.lit(1))
-        at = lambda j: F.get(v, j.cast("int"))
+        at = lambda j: _at(v, j.cast("int"))
         return F.when(n == 1, F.lit(0.0)).when(p == 0, at(i + step) - at(i + 0)).when(p == n - 1, at(i + 0) - at(i - step)).otherwise((at(i + step) - at(i - step)) / 2)
 
     return F.transform(f.places(), one)
@@ -171,16 +197,17 @@ def apc_response(v: Column, f: Frame, sigma: float, alpha: float, lenient: bool
     return unit_range(F.transform(hessian_eigenvalues(v, f, sigma), weight))
 
 
+@bound
 def hds_step(u: Column, first: Column, f: Frame, lam: float, dt: float, g: float, h: float, eps: float) -> Column:
     """One diffusion step from ``u`` towards the noisy image ``first``, clipped to 0..1."""
     c = lambda d: g * (1 / (1 + d * d / (h * h)) + 1 / (F.abs(d) + eps)) * d
 
     def one(i):
         y, x = f.row(i), f.col(i)
-        me = F.get(u, i.cast("int"))
+        me = _at(u, i.cast("int"))
         at = lambda dy, dx: pixel(u, f, y + dy, x + dx, "nearest")
         flow = c(me - at(-1, 0)) + c(at(1, 0) - me) + c(me - at(0, -1)) + c(at(0, 1) - me)
-        prior = lam * (me / (F.get(first, i.cast("int")) + eps) - 1) * (1 / (me + eps))
+        prior = lam * (me / (_at(first, i.cast("int")) + eps) - 1) * (1 / (me + eps))
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), me + dt * (flow - prior)))
 
     return F.transform(f.places(), one)
@@ -191,13 +218,14 @@ def bilateral_taps(diameter: int, sigma_space: float):
     return [(dy, dx, math.exp(-0.5 * (dy * dy + dx * dx) / sigma_space**2)) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
 
 
+@bound
 def bilateral(v: Column, f: Frame, diameter: int, sigma_colour: float, sigma_space: float) -> Column:
     """Edge-preserving mean of one channel over a disc, mirrored at the border."""
     taps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(w).alias("w")) for a, b, w in bilateral_taps(diameter, sigma_space)])
     scale = -0.5 / sigma_colour**2
 
     def one(i):
-        me = F.get(v, i.cast("int"))
+        me = _at(v, i.cast("int"))
         each = F.transform(taps, lambda t: F.struct(t["w"].alias("w"), pixel(v, f, f.row(i) + t["dy"], f.col(i) + t["dx"], "mirror").alias("v")))
         weighed = F.transform(each, lambda t: F.struct((t["w"] * F.exp(scale * (t["v"] - me) * (t["v"] - me))).alias("w"), t["v"].alias("v")))
         total = F.aggregate(weighed, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda s, t: F.struct((s["s"] + t["w"] * t["v"]).alias("s"), (s["n"] + t["w"]).alias("n")))
@@ -210,12 +238,13 @@ def disc(radius: int):
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
 
 
+@bound
 def dilated(mask: Column, f: Frame, radius: int, erode: bool = False) -> Column:
     """Whether any (``erode``: every) pixel of the disc inside the frame is set."""
 
     def one(i):
         inside = F.filter(F.transform(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a, b in disc(radius)]), lambda d: F.struct((f.row(i) + d["y"]).alias("y"), (f.col(i) + d["x"]).alias("x"))), lambda d: (d["y"] >= 0) & (d["y"] < f.h) & (d["x"] >= 0) & (d["x"] < f.w))
-        at = lambda d: F.get(mask, (d["y"] * f.w + d["x"]).cast("int"))
+        at = lambda d: _at(mask, (d["y"] * f.w + d["x"]).cast("int"))
         return F.forall(inside, at) if erode else F.exists(inside, at)
 
     return F.transform(f.places(), one)

@@ -32,7 +32,7 @@ def pairs(images: DataFrame, key, gray: str, width) -> DataFrame:
     """(key, i, j, n): symmetric counts of horizontally adjacent levels of array images."""
     g, w = F.col(gray), F.lit(width) if isinstance(width, int) else width
     places = F.filter(F.sequence(F.lit(0), F.size(g) - 2), lambda p: (p % w) < w - 1)
-    both = F.flatten(F.transform(places, lambda p: F.array(F.struct(F.get(g, p).alias("i"), F.get(g, p + 1).alias("j")), F.struct(F.get(g, p + 1).alias("i"), F.get(g, p).alias("j")))))
+    both = F.flatten(F.transform(places, lambda p: F.array(F.struct(g[p].alias("i"), g[p + 1].alias("j")), F.struct(g[p + 1].alias("i"), g[p].alias("j")))))
     return images.select(*key, F.explode(both).alias("p")).groupBy(*key, F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.count("*").alias("n"))
 
 
