@@ -89,7 +89,7 @@ def lab8_of(rgb: np.ndarray) -> np.ndarray:
 
 
 def rgb_of_lab8(lab: np.ndarray) -> np.ndarray:
-    light, a, b = (lab[..., 0] * 100 / 255.0, lab[..., 1] - 128.0, lab[..., 2] - 128.0)
+    light, a, b = np.moveaxis(lab.astype(np.float64), -1, 0) * np.array([100 / 255, 1, 1]).reshape(3, *[1] * (lab.ndim - 1)) - np.array([0, 128, 128]).reshape(3, *[1] * (lab.ndim - 1))
     fy = np.where(light > 903.3 * 0.008856, (light + 16) / 116, 7.787 * (light / 903.3) + 16 / 116)
     y = np.where(light > 903.3 * 0.008856, fy**3, light / 903.3)
     back = lambda t: np.where(t > 0.206893, t**3, (t - 16 / 116) / 7.787)
