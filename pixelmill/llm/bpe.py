@@ -25,12 +25,12 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelmill.llm.common import by_bytes, worker_store
+from pixelmill.llm.common import bounded, by_bytes, worker_store
 
 # The public pre-tokenizer pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 1_000_000  # words and 16 bytes each at least; the cache is emptied beyond
-SLICE = 4 << 20
+CACHE = 200_000  # words, some 300 bytes each with their ids; the cache is emptied beyond
+SLICE = 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -192,7 +192,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 decoded.append(hashlib.sha256(b"".join(back).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids), pa.array(decoded)], schema=SCHEMA)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -206,7 +206,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [encoder.encode(t) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def op5(spark, sf_dir) -> DataFrame:

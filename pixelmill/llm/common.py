@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 8 << 20
 NO_ID = (1 << 63) - 1  # stands for a null id inside the operators; sorts last
 
 
@@ -64,6 +65,12 @@ def worker_store() -> dict:
     return sys.modules[name].found
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of the session held to BATCH bytes, so long texts don't add up to large ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df
+
+
 def string_parts(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column end to end, and the offsets of its rows; null counts as empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

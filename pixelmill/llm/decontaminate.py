@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import by_bytes, string_parts
+from pixelmill.llm.common import bounded, by_bytes, string_parts
 from pixelmill.llm.substring_dedup import joined_words, word_hashes, words_of
 
 SHARD = 2 << 20
@@ -253,7 +253,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
 
 def op2(spark, sf_dir) -> DataFrame:

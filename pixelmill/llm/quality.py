@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import by_bytes
+from pixelmill.llm.common import bounded, by_bytes
 
 SLICE = 4 << 20
 RUN = re.compile(r"([!#$%&*|.?=~_^-])\1+")
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> dict:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [r for q in (0, 1) for r in named.where(F.col("quality") == q).orderBy(*order).limit(sample).collect()]
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in chosen], "doc_id long, quality int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted.dropDuplicates(["doc_id"])), "doc_id")
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted.dropDuplicates(["doc_id"])), "doc_id")
 
     def run(batches):
         for batch in by_bytes(batches, "text", SLICE):
@@ -125,7 +125,7 @@ def score_with(docs: DataFrame, model: dict) -> DataFrame:
             s = np.clip((x - model["centre"]) / model["spread"], -8, 8) @ model["weights"] - model["threshold"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(s, -500, 500))))], names=["doc_id", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    found = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -144,7 +144,7 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
             s = np.clip((x - model["centre"]) / model["spread"], -8, 8) @ model["weights"] - model["threshold"]
             yield batch.filter(pa.array(s >= 0))
 
-    return docs.withColumn("text", F.col("text").cast("string")).select(*names).mapInArrow(run, docs.select(*names).schema)
+    return bounded(docs).withColumn("text", F.col("text").cast("string")).select(*names).mapInArrow(run, docs.select(*names).schema)
 
 
 def op8(spark, sf_dir) -> DataFrame:

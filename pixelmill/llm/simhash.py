@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import NO_ID, by_bytes, cut, partitions, with_id
+from pixelmill.llm.common import NO_ID, bounded, by_bytes, cut, partitions, with_id
 from pixelmill.llm.components import components
 
 SEGMENTS, BITS, MOST = 8, 8, 2
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             found = np.array([fingerprint((t or "").encode(), size) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64))], names=["_id", "fp"])
 
-    return with_id(docs).select("_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, fp long")
+    return with_id(bounded(docs)).select("_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, fp long")
 
 
 def _linked(fp: np.ndarray) -> np.ndarray:

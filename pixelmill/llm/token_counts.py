@@ -20,8 +20,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelmill.llm.bpe import CACHE, SLICE, Encoder, encode_words, read_vocabulary, vocabulary_path
-from pixelmill.llm.common import by_bytes, worker_store
+from pixelmill.llm.bpe import SLICE, Encoder, encode_words, read_vocabulary, vocabulary_path
+from pixelmill.llm.common import bounded, by_bytes, worker_store
+
+CACHE = 1_000_000  # pairs of tokens; a quarter as many words
 
 
 class PrefixCounts:
@@ -129,7 +131,7 @@ def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None) ->
                 size.append(len((text or "").encode()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], schema=SCHEMA)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6(spark, sf_dir) -> DataFrame:
