@@ -15,8 +15,9 @@ from pixelmill.operators import split as S
 from pixelmill.plans import oracle as Q
 from pixelmill.sources.tables import FRAME, SIDE, colour_images, gray_images, pixels
 
-V, G = F.col("v"), F.col("g")
-RGB = tuple(F.col(c).cast("array<double>") for c in ("red", "green", "blue"))
+
+def channels():
+    return tuple(F.col(c).cast("array<double>") for c in ("red", "green", "blue"))
 
 
 def rounded(c, digits=6):
@@ -75,7 +76,7 @@ def _pool(spark, sf_dir):
 
 def _lab(spark, sf_dir):
     images = colour_images(spark, sf_dir)
-    lab = F.transform(F.arrays_zip(*[c.alias(n) for c, n in zip(RGB, "rgb", strict=True)]), lambda p: A.lab_of(p["r"], p["g"], p["b"]))
+    lab = F.transform(F.arrays_zip(*[c.alias(n) for c, n in zip(channels(), "rgb", strict=True)]), lambda p: A.lab_of(p["r"], p["g"], p["b"]))
     return pixels(images.withColumn("lab", lab), F.col("lab"), "lab").select("image_id", "y", "x", "lab.*")
 
 
@@ -105,25 +106,25 @@ def reinhard(spark, sf_dir):
 
 
 def gray_convert(spark, sf_dir):
-    gray = F.transform(F.arrays_zip(*[c.alias(n) for c, n in zip(RGB, "rgb", strict=True)]), lambda p: A.gray_of(p["r"], p["g"], p["b"]))
+    gray = F.transform(F.arrays_zip(*[c.alias(n) for c, n in zip(channels(), "rgb", strict=True)]), lambda p: A.gray_of(p["r"], p["g"], p["b"]))
     return pixels(colour_images(spark, sf_dir), gray)
 
 
 def channel_stats(spark, sf_dir):
-    flat = pixels(colour_images(spark, sf_dir), F.arrays_zip(*[c.alias(n) for c, n in zip(RGB, "RGB", strict=True)]), "p").select("image_id", "p.*")
+    flat = pixels(colour_images(spark, sf_dir), F.arrays_zip(*[c.alias(n) for c, n in zip(channels(), "RGB", strict=True)]), "p").select("image_id", "p.*")
     return flat.groupBy("image_id").agg(*[rounded(f(c)).alias(f"{n}_{c}") for n, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in "RGB"])
 
 
 def _thresholds(spark, sf_dir):
-    return R.otsu(R.histogram(pixels(gray_images(spark, sf_dir), G, "g"), ["image_id"]), ["image_id"])
+    return R.otsu(R.histogram(pixels(gray_images(spark, sf_dir), F.col("g"), "g"), ["image_id"]), ["image_id"])
 
 
 def _masked(spark, sf_dir):
     """Images with their cell and nucleus masks (thresholds only)."""
-    images = gray_images(spark, sf_dir).join(_thresholds(spark, sf_dir), "image_id").withColumn("cell", F.transform(G, lambda g: g <= F.col("threshold")))
-    inside = images.select("image_id", F.explode(F.filter(G, lambda g: g <= F.col("threshold"))).alias("g"))
+    images = gray_images(spark, sf_dir).join(_thresholds(spark, sf_dir), "image_id").withColumn("cell", F.transform(F.col("g"), lambda g: g <= F.col("threshold")))
+    inside = images.select("image_id", F.explode(F.filter(F.col("g"), lambda g: g <= F.col("threshold"))).alias("g"))
     inner = R.otsu(R.histogram(inside, ["image_id"]), ["image_id"]).withColumnRenamed("threshold", "inner")
-    return images.join(inner, "image_id", "left").withColumn("nucleus", F.transform(G, lambda g: (g <= F.col("threshold")) & F.coalesce(g < F.col("inner"), F.lit(False))))
+    return images.join(inner, "image_id", "left").withColumn("nucleus", F.transform(F.col("g"), lambda g: (g <= F.col("threshold")) & F.coalesce(g < F.col("inner"), F.lit(False))))
 
 
 def otsu_masked(spark, sf_dir):
@@ -148,7 +149,7 @@ def nc_ratio(spark, sf_dir):
 
 
 def hessian(spark, sf_dir):
-    e = pixels(gray_images(spark, sf_dir), A.hessian_eigenvalues(V, FRAME, 1.0), "e")
+    e = pixels(gray_images(spark, sf_dir), A.hessian_eigenvalues(F.col("v"), FRAME, 1.0), "e")
     return e.select("image_id", "y", "x", rounded(F.col("e.l1")).alias("l1"), rounded(F.col("e.l2")).alias("l2"))
 
 
@@ -184,7 +185,7 @@ def _channels(make):
 
     def run(spark, sf_dir):
         images = colour_images(spark, sf_dir).withColumn("m", F.zip_with("red", "green", lambda a, b: a > b))
-        made = F.arrays_zip(*[make(c, F.col("m"), n).alias(n) for c, n in zip(RGB, ("red", "green", "blue"), strict=True)])
+        made = F.arrays_zip(*[make(c, F.col("m"), n).alias(n) for c, n in zip(channels(), ("red", "green", "blue"), strict=True)])
         return pixels(images, made, "p").select("image_id", "y", "x", "p.*")
 
     return run
@@ -216,16 +217,16 @@ def _stretch(c, m, name):
 
 
 def edge_map(spark, sf_dir):
-    return pixels(gray_images(spark, sf_dir), F.transform(A.gradient(V, FRAME, "sobel"), lambda x: F.when(F.round(x, 9) > 0.3, 255).otherwise(0)))
+    return pixels(gray_images(spark, sf_dir), F.transform(A.gradient(F.col("v"), FRAME, "sobel"), lambda x: F.when(F.round(x, 9) > 0.3, 255).otherwise(0)))
 
 
 def noise_removed(spark, sf_dir):
-    images = gray_images(spark, sf_dir).withColumn("s", A.stencil(G.cast("array<double>"), FRAME, [(a, b, 0.125) for a in (0, 1) for b in (0, 1, -1, 0)]))
+    images = gray_images(spark, sf_dir).withColumn("s", A.stencil(F.col("g").cast("array<double>"), FRAME, [(a, b, 0.125) for a in (0, 1) for b in (0, 1, -1, 0)]))
     return pixels(images, F.zip_with("g", "s", lambda a, b: _int(F.least(F.lit(255.0), 5 * F.abs(a - F.round(b, 6))))))
 
 
 def crop(spark, sf_dir):
-    return pixels(gray_images(spark, sf_dir), G).where("y between 2 and 5 and x between 2 and 5")
+    return pixels(gray_images(spark, sf_dir), F.col("g")).where("y between 2 and 5 and x between 2 and 5")
 
 
 def otsu_lineitem(spark, sf_dir):
@@ -300,23 +301,23 @@ def queries():
         "reinhard_normalize": reinhard,
         "gray_convert": gray_convert,
         "channel_stats": channel_stats,
-        "minmax_norm": _pixelwise(lambda: V),
-        "quantize_u8": lambda s, d: pixels(gray_images(s, d), G),
+        "minmax_norm": _pixelwise(lambda: F.col("v")),
+        "quantize_u8": lambda s, d: pixels(gray_images(s, d), F.col("g")),
         "otsu_threshold": _thresholds,
         "otsu_masked": otsu_masked,
         "cell_mask_area": cell_area,
         "nucleus_mask_area": nucleus_area,
         "nc_ratio": nc_ratio,
-        "central_diff": _pixelwise(lambda: A.central_difference(V, FRAME)),
-        "laplacian": _pixelwise(lambda: A.stencil(V, FRAME, A.LAPLACE)),
-        "gaussian_blur": _pixelwise(lambda: A.gaussian(V, FRAME, 2.5)),
-        "log_response": _pixelwise(lambda: A.log_response(V, FRAME, 4.0), 4),
+        "central_diff": _pixelwise(lambda: A.central_difference(F.col("v"), FRAME)),
+        "laplacian": _pixelwise(lambda: A.stencil(F.col("v"), FRAME, A.LAPLACE)),
+        "gaussian_blur": _pixelwise(lambda: A.gaussian(F.col("v"), FRAME, 2.5)),
+        "log_response": _pixelwise(lambda: A.log_response(F.col("v"), FRAME, 4.0), 4),
         "hessian_eig": hessian,
-        "apc_response": _pixelwise(lambda: A.apc_response(V, FRAME, 2.5, 0.6), 5),
-        "apc_response_lenient": _pixelwise(lambda: A.apc_response(V, FRAME, 1.0, 0.5, lenient=True), 5),
-        "hds_step": _pixelwise(lambda: A.hds_step(V, V, FRAME, *DEFAULT.hds[1:]), 5),
-        "bilateral": _pixelwise(lambda: A.bilateral(V, FRAME, 3, 0.3, 1.5)),
-        "bilateral_d9": _pixelwise(lambda: A.bilateral(V, FRAME, 9, 0.3, 3.0)),
+        "apc_response": _pixelwise(lambda: A.apc_response(F.col("v"), FRAME, 2.5, 0.6), 5),
+        "apc_response_lenient": _pixelwise(lambda: A.apc_response(F.col("v"), FRAME, 1.0, 0.5, lenient=True), 5),
+        "hds_step": _pixelwise(lambda: A.hds_step(F.col("v"), F.col("v"), FRAME, *DEFAULT.hds[1:]), 5),
+        "bilateral": _pixelwise(lambda: A.bilateral(F.col("v"), FRAME, 3, 0.3, 1.5)),
+        "bilateral_d9": _pixelwise(lambda: A.bilateral(F.col("v"), FRAME, 9, 0.3, 3.0)),
         "dilate": _mask_query(lambda m: A.dilated(m, FRAME, 1)),
         "erode": _mask_query(lambda m: A.dilated(m, FRAME, 1, erode=True)),
         "closing": _mask_query(lambda m: A.closed(m, FRAME, 2)),
@@ -341,7 +342,7 @@ def queries():
         "hds_full": _images(lambda i, g: [(i, round(float(K.hds(g / 255.0, *DEFAULT.hds).sum()), 4))], "image_id long, total double"),
         "pipeline_features": _images(_features, "image_id long, " + ", ".join(f"f{k} double" for k in range(16))),
     }
-    made |= {m: _pixelwise(lambda m=m: A.gradient(V, FRAME, m)) for m in ("sobel", "prewitt", "roberts", "scharr")}
+    made |= {m: _pixelwise(lambda m=m: A.gradient(F.col("v"), FRAME, m)) for m in ("sobel", "prewitt", "roberts", "scharr")}
     made |= {f"detect_edges_{d}_{m}": _images(_edges(m, d), edges) for d in ("strict", "lenient") for m in E.METHODS}
     return made
 
