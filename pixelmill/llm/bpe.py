@@ -29,8 +29,8 @@ from pixelmill.llm.common import bounded, by_bytes, worker_store
 
 # The public pre-tokenizer pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 200_000  # words, some 300 bytes each with their ids; the cache is emptied beyond
-SLICE = 2 << 20
+CACHE = 500_000  # words, some 300 bytes each with their ids; the cache is emptied beyond
+SLICE = 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
