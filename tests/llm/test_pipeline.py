@@ -1,0 +1,73 @@
+"""The corpus pipeline, stage by stage, against brute force on the stage's own input."""
+
+import hashlib
+import re
+
+import public_tokenizers
+import regex
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from pixelmill.llm import pii
+
+DIR = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def near_groups(texts):
+    import xxhash
+
+    def fingerprint(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = {i: fingerprint(t) for i, t in texts.items()}
+    root = {i: i for i in fps}
+    for a in sorted(fps):
+        for b in sorted(fps):
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, seen = docs.columns, [{r.doc_id: r.text for r in docs.collect()}]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DIR).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert docs.columns == columns
+            seen.append({r.doc_id: r.text for r in docs.collect()})
+            assert all(r.n_chars == len(r.text) for r in docs.collect())
+    start, good, single, clean, private = seen
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DIR}/labels.parquet").collect() if r.doc_id in start}
+    assert sum((i in good) == (q == 1) for i, q in labels.items()) >= 0.97 * len(labels) and all(good[i] == start[i] for i in good)
+    groups = near_groups(good)
+    assert single == {i: t for i, t in good.items() if groups[i] == i}
+    grams = set()
+    for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect():
+        w = words(r.text)
+        assert len(w) >= 13
+        grams |= {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    dirty = set()
+    for i, t in single.items():
+        w = words(t)
+        hit = {p for s in range(len(w) - 12) if tuple(w[s : s + 13]) in grams for p in range(s, s + 13)}
+        if hit and 20 * len(hit) >= len(w):
+            dirty.add(i)
+    assert clean == {i: t for i, t in single.items() if i not in dirty} and dirty
+    found = regex.compile(pii.PATTERN)
+    assert set(private) == set(clean)
+    for i, t in clean.items():
+        assert found.sub("#", t) == found.sub("#", private[i]) and not {m[0] for m in found.finditer(t)} & {m[0] for m in found.finditer(private[i])}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: hashlib.sha256(",".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest() for i, t in private.items()}
+    assert {r.doc_id: r.ids_sha256 for r in docs.collect()} == want
+    assert sorted(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == sorted(map(tuple, docs.collect()))
