@@ -218,6 +218,42 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
     return [context.broadcast(Phrases([(r.item, r.phrase) for r in items.where(number == b).toLocalIterator()], window)) for b in range(blocks)]
 
 
+def judge(batch, shared: list):
+    """Word bounds of a shard's texts, which of the words are hit, and the items of each document."""
+    raw, at = string_parts(batch.column("text"))
+    data = LOWER[raw]
+    first, last, before = words_of(data, at, ~LETTER)
+    text, begin, word, inside = joined_words(data, first, last)
+    hashes = word_hashes(text, begin, word, inside)
+    hit, items = np.zeros(len(first), bool), [set() for _ in range(batch.num_rows)]
+    for block in shared:
+        more, where, which = hits(block.value, block.value.symbols(hashes, text, begin), before)
+        hit |= more
+        for d, p in zip(where.tolist(), which.tolist(), strict=True):
+            items[d].update(block.value.owners[p])
+    return at, first, last, before, hit, items
+
+
+def verdicts(before: np.ndarray, hit: np.ndarray, share: float):
+    """Words and hit words of each document, and whether it is contaminated."""
+    sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
+    n_words, n_hit = np.diff(before), np.diff(sums[before])
+    return n_words, n_hit, (n_hit > 0) & (n_hit >= share * n_words - 1e-9)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't contaminated; each row is judged by its own text, without a shuffle."""
+    names, shared = docs.columns, phrase_blocks(benchmark, window, block_bytes)
+
+    def run(batches):
+        for batch in by_bytes(batches, "text", SHARD):
+            _, _, _, before, hit, _ = judge(batch, shared)
+            yield batch.filter(pa.array(~verdicts(before, hit, share)[2]))
+
+    docs = bounded(docs).withColumn("text", F.col("text").cast("string")).select(*names)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = 8 << 20) -> DataFrame:
     """Judge every document by the benchmark word windows it holds.
 
@@ -228,19 +264,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
     def run(batches):
         for batch in by_bytes(batches, "text", SHARD):
-            raw, at = string_parts(batch.column("text"))
-            data = LOWER[raw]
-            first, last, before = words_of(data, at, ~LETTER)
-            text, begin, word, inside = joined_words(data, first, last)
-            hashes = word_hashes(text, begin, word, inside)
-            hit, items = np.zeros(len(first), bool), [set() for _ in range(batch.num_rows)]
-            for block in shared:
-                more, where, which = hits(block.value, block.value.symbols(hashes, text, begin), before)
-                hit |= more
-                for d, p in zip(where.tolist(), which.tolist(), strict=True):
-                    items[d].update(block.value.owners[p])
-            sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
-            n_words, n_hit = np.diff(before), np.diff(sums[before])
+            at, first, last, before, hit, items = judge(batch, shared)
+            n_words, n_hit, over = verdicts(before, hit, share)
             spans = [[] for _ in items]
             for d in np.flatnonzero(n_hit).tolist():
                 a, b = before[d], before[d + 1]
@@ -249,7 +274,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
                 spans[d] = [{"first": int(first[x] - at[d]), "end": int(last[y - 1] - at[d])} for x, y in zip(edges[::2], edges[1::2], strict=True)]
             names = [sorted(x) for x in items]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array((n_hit > 0) & (n_hit >= share * n_words - 1e-9)), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
+                [batch.column("doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array(over), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
             )
 

@@ -10,7 +10,8 @@ the neighbours of each fingerprint instead of comparing all pairs, and a bucket
 a spanning star of each group, never its pairs.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any
-other; a null doc_id is a document that sorts last and stays null in the result;
+other; a null doc_id sorts last and stays null in the result; rows that share a
+doc_id, or have none, are each judged by their own text;
 repeated rows stay; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -49,15 +50,17 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(_id, fp): the fingerprint of every whole text as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, size: int = 3, sha=None) -> DataFrame:
+    """(_id, fp): the fingerprint of every whole text as a signed 64-bit number; with ``sha``, that column as _sha."""
+    more = [] if sha is None else ["_sha"]
 
     def run(batches):
         for batch in by_bytes(batches, "text", SLICE):
             found = np.array([fingerprint((t or "").encode(), size) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64))], names=["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64)), *[batch.column(n) for n in more]], names=["_id", "fp", *more])
 
-    return with_id(bounded(docs)).select("_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "_id long, fp long")
+    kept = [] if sha is None else [sha.alias("_sha")]
+    return with_id(bounded(docs)).select("_id", F.col("text").cast("string").alias("text"), *kept).mapInArrow(run, "_id long, fp long" + "".join(f", {n} string" for n in more))
 
 
 def _linked(fp: np.ndarray) -> np.ndarray:
@@ -158,14 +161,40 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _classes(found: DataFrame) -> DataFrame:
+    """(fp, root, component) of every distinct fingerprint of ``found`` (_id, fp).
+
+    Fingerprints are the nodes, as several of them may share a doc_id or have none;
+    root names a group, and component is its smallest doc_id.
+    """
+    distinct = cut(found.groupBy("fp").agg(F.min("_id").alias("rep")))
+    named = components(links(distinct.select("fp", F.col("fp").alias("rep"))))
+    rooted = cut(distinct.join(named, distinct.fp == named.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    return rooted.select("fp", "root").join(least, "root")
+
+
 def simhash_dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of 2 bits or fewer)."""
     found = cut(fingerprints(docs, size))
-    distinct = cut(found.groupBy("fp").agg(F.min("_id").alias("rep")))
-    named = components(links(distinct))
-    classes = distinct.join(named, distinct.rep == named.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return found.join(classes, "fp").select(null("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null("component").alias("component_id"))
+    return found.join(_classes(found), "fp").select(null("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), null("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each group of near-duplicates.
+
+    The row with the smallest doc_id stays (null last, then by a digest of the text), so
+    groups are told apart by their texts even where rows share a doc_id or have none;
+    null-id rows whose texts aren't near each other all stay.
+    """
+    names, sha = docs.columns, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    found = cut(fingerprints(docs, size, sha))
+    # a text's digest settles its fingerprint, so (_id, _sha) names equal rows of one group
+    chosen = found.join(_classes(found), "fp").groupBy("root").agg(F.min(F.struct("_id", "_sha")).alias("first")).select("first.*")
+    marked = with_id(docs.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)], sha.alias("_sha"), F.col("doc_id")))
+    kept = marked.join(chosen, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
+    return kept.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
 
 
 def op9(spark, sf_dir) -> DataFrame:
