@@ -188,10 +188,16 @@ def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     groups are told apart by their texts even where rows share a doc_id or have none;
     null-id rows whose texts aren't near each other all stay.
     """
-    names, sha = docs.columns, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     found = cut(fingerprints(docs, size, sha))
     # a text's digest settles its fingerprint, so (_id, _sha) names equal rows of one group
     chosen = found.join(_classes(found), "fp").groupBy("root").agg(F.min(F.struct("_id", "_sha")).alias("first")).select("first.*")
+    return rows_of(docs, sha, chosen)
+
+
+def rows_of(docs: DataFrame, sha, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``chosen`` (_id, _sha), where ``sha`` is the digest of the text."""
+    names = docs.columns
     marked = with_id(docs.select(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)], sha.alias("_sha"), F.col("doc_id")))
     kept = marked.join(chosen, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
     return kept.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
