@@ -35,7 +35,7 @@ PREFIX = r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]
 HIM = "Mr|Sir|Herr|Monsieur|Señor|Sr|Господин"
 HER = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Госпожа"
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])" + PREFIX + r"(?=[A-Za-z_+/=.-]{0,127}[0-9])[A-Za-z0-9_+/=.-]{8,128}",
+    "secret": r"(?<![A-Za-z0-9])" + PREFIX + r"[A-Za-z0-9_+/=.-]{8,}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "ipv4": r"(?<![\d.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?!\d|\.\d)",

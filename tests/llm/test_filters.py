@@ -136,3 +136,12 @@ def test_held_out_labels_are_not_used(spark):
 @pytest.mark.parametrize("kind", list(pii.PATTERNS))
 def test_every_pattern_compiles(kind):
     assert regex.compile(pii.PATTERNS[kind])
+
+
+def test_secrets_are_taken_whole(spark):
+    value = "eyJhbGciOi." + "Qx7-_" * 70 + "Zz"
+    texts = [f"token={value} end", "password: hunterhunter", "token of thanks"]
+    got = {r.doc_id: r for r in pii.surrogated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].text.startswith("token=") and got[0].text.endswith(" end") and len(got[0].text) == len(texts[0])
+    assert not any(value[i : i + 12] in got[0].text for i in range(len(value) - 11))
+    assert got[1].kinds == ["secret"] and "hunter" not in got[1].text and got[2].text == texts[2]
