@@ -34,6 +34,11 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PREFIX = r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
 HIM = "Mr|Sir|Herr|Monsieur|Señor|Sr|Господин"
 HER = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Госпожа"
+TITLE = rf"(?:{HIM}|{HER})(?:\.\s{{0,3}}|\s{{1,3}})"
+# Particles of names, and articles that follow them; each is replaced by another of its list.
+PARTICLES, ARTICLES = "van von de del di da du dos zu ten ter bin ibn".split(), "der den dem la las los".split()
+CAPITAL = r"(?:\p{Ll}{1,2}['’])?\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
+PART = rf"(?:\p{{Lu}}\.\s{{0,3}})*+(?!(?:{HIM}|{HER})(?!\p{{L}}))(?:(?:{'|'.join(PARTICLES)})\s{{1,3}}(?:(?:{'|'.join(ARTICLES)})\s{{1,3}})?)?{CAPITAL}"
 PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])" + PREFIX + r"[A-Za-z0-9_+/=.-]{8,}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -43,10 +48,11 @@ PATTERNS = {
     "card": r"(?<![\w.])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<!\p{L})(?:" + HIM + "|" + HER + r")\.?\s\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)?",
+    "name": r"(?<!\p{L})" + TITLE + PART + r"(?:\s{1,3}" + PART + r")*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
+LATIN, CYRILLIC, GREEK, ARMENIAN = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"
+SCRIPTS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}  # letters of other scripts become Latin ones
 GIVEN = {("m", "latin"): "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Louis Marc Nils Oscar Paul".split(), ("f", "latin"): "Anna Berta Clara Dora Emma Flora Greta Helena Ida Julia Klara Laura Maria Nora Olga Paula".split(), ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь".split(), ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Зоя Ирина Ольга".split()}
 
 
@@ -66,13 +72,14 @@ def kind_of(entity: Column) -> Column:
 
 def normal(kind: Column, entity: Column) -> Column:
     """What makes two entities of a kind the same."""
-    gender = F.when(entity.rlike(f"^(?:{HER})[. ]"), "f ").otherwise("m ")
+    gender = F.when(entity.rlike(rf"^(?:{HER})(?!\p{{L}})"), "f ").otherwise("m ")
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(entity, "^" + TITLE, ""), r"\.\s*", ". "), r"\s+", " ")
     return (
         F.when(kind == "secret", F.regexp_replace(entity, "^" + PREFIX, ""))
         .when(kind == "email", F.lower(entity))
         .when(kind.isin("card", "phone", "national_id"), F.regexp_replace(entity, r"[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind == "name", F.concat(gender, F.regexp_replace(F.regexp_replace(entity, rf"^(?:{HIM}|{HER})\.?\s", ""), r"\s+", " ")))
+        .when(kind == "name", F.concat(gender, words))
         .otherwise(entity)
     )
 
@@ -92,7 +99,7 @@ def _draw(seed: Column, i: int, among: int) -> Column:
 
 
 def shaped(text: Column, seed: Column) -> Column:
-    """A string of the same shape: digits, small and capital letters stay what they are, the rest stays."""
+    """A string of the same shape: digits, small and capital letters of a script stay what they are, marks go, the rest stays."""
 
     def letter(alphabet, n):
         return F.substring(F.lit(alphabet), (n % len(alphabet)).cast("int") + 1, F.lit(1))
@@ -103,11 +110,17 @@ def shaped(text: Column, seed: Column) -> Column:
             F.when(c.rlike("^[0-9]$"), (n % 10).cast("string"))
             .when(c.rlike("^[a-z]$"), letter(LATIN, n))
             .when(c.rlike("^[A-Z]$"), letter(LATIN.upper(), n))
-            .when(c.rlike("^[а-я]$"), letter(CYRILLIC, n))
-            .when(c.rlike("^[А-Я]$"), letter(CYRILLIC.upper(), n))
-            .otherwise(c)
+            .when(c.rlike(r"^[\x00-\x7F]$"), c)
+            .otherwise(other(c, n))
         )
 
+    def other(c, n):
+        found = F.when(c.rlike(r"^\p{M}$"), "").when(~c.rlike(r"^\p{L}$"), c)
+        for script, alphabet in {**SCRIPTS, "": LATIN}.items():
+            of = c.rlike(rf"^\p{{Is{script}}}$") if script else F.lit(True)
+            found = found.when(of & c.rlike(r"^\p{Lu}$"), letter(alphabet.upper(), n)).when(of, letter(alphabet, n))
+        return found
+
     places = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i > 0)
     return F.array_join(F.transform(places, lambda i: let(F.struct(F.substring(text, i, F.lit(1)).alias("c"), _number(seed, i).alias("n")), drawn)), "")
 
@@ -148,12 +161,24 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 
 def _name(gender: Column, words: Column, seed: Column) -> Column:
-    given = F.lit("")
+    parts = F.split(words, " ")
+    family = shaped(F.element_at(parts, -1), F.concat(seed, F.lit("family")))
+    before = F.slice(parts, 1, F.size(parts) - 1)
+    return F.array_join(F.concat(F.transform(before, lambda p, k: _before(gender, p, F.concat(seed, F.lit(":"), k.cast("string")))), F.array(family)), " ")
+
+
+def _other(part: Column, names: list[str], seed: Column) -> Column:
+    """One of ``names`` that isn't ``part``."""
+    kept = F.array_remove(F.array(*map(F.lit, names)), part)
+    return F.element_at(kept, (_number(seed, F.lit(0)) % F.size(kept)).cast("int") + 1)
+
+
+def _before(gender: Column, part: Column, seed: Column) -> Column:
+    """What stands for a part before the family name: an initial, a particle or a given name."""
+    drawn = F.when(part.endswith("."), shaped(part, seed)).when(part.isin(*PARTICLES), _other(part, PARTICLES, seed)).when(part.isin(*ARTICLES), _other(part, ARTICLES, seed))
     for (of, script), names in GIVEN.items():
-        listed = F.element_at(F.array(*map(F.lit, names)), _draw(seed, 0, len(names)) + 1)
-        given = F.when((gender == of) & (words.rlike("[А-я]") == F.lit(script == "cyrillic")), listed).otherwise(given)
-    family = shaped(F.element_at(F.split(words, " "), -1), F.concat(seed, F.lit("family")))
-    return F.concat(F.when(words.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
+        drawn = drawn.when((gender == of) & (part.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic")), _other(part, names, seed))
+    return drawn
 
 
 def rendered(kind: Column, entity: Column, drawn: Column) -> Column:
@@ -166,7 +191,7 @@ def rendered(kind: Column, entity: Column, drawn: Column) -> Column:
     return (
         F.when(kind.isin("card", "phone", "national_id", "iban"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), placed), ""))
         .when(kind == "secret", F.concat(F.regexp_extract(entity, "^" + PREFIX, 0), drawn))
-        .when(kind == "name", F.concat(F.regexp_extract(entity, rf"^(?:{HIM}|{HER})\.?\s", 0), F.substring(drawn, F.lit(3), F.length(drawn))))
+        .when(kind == "name", F.concat(F.regexp_extract(entity, "^" + TITLE, 0), F.substring(drawn, F.lit(3), F.length(drawn))))
         .when((kind == "email") & (F.upper(entity) == entity), F.upper(drawn))
         .otherwise(drawn)
     )

@@ -145,3 +145,21 @@ def test_secrets_are_taken_whole(spark):
     assert got[0].text.startswith("token=") and got[0].text.endswith(" end") and len(got[0].text) == len(texts[0])
     assert not any(value[i : i + 12] in got[0].text for i in range(len(value) - 11))
     assert got[1].kinds == ["secret"] and "hunter" not in got[1].text and got[2].text == texts[2]
+
+
+NAMES = ["Mr. John Fitzgerald Kennedy", "Mrs. Mary-Jane Watson", "Frau Mueller-Schmidt", "Mr. O'Brien", "Mr. J. Smith", "Mr. J.R.R. Tolkien", "Herr Ludwig van der Beethoven", "Mr. McDonald", "Mr. Παπαδόπουλος", "Frau Éöüßà", "Господин Ёлкин", "Mr. Adam Bruno Carl"]
+
+
+def test_no_part_of_a_name_survives(spark):
+    rows = [(i, f"so {n}, then.") for i, n in enumerate(NAMES)]
+    got = {r.doc_id: r for r in pii.surrogated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = regex.compile(pii.PATTERN)
+    for i, t in rows:
+        new = got[i].text
+        title = t.split()[1]
+        assert got[i].kinds == ["name"] and new.startswith(f"so {title} ") and new.endswith(", then.") and found.sub("#", new) == "so #, then.", new
+        old, drawn = ([p for p in regex.split(r"[^\p{L}]+", x[len(title) + 4 : -7]) if len(p) > 2] for x in (t, new))
+        assert not set(old) & set(drawn), new
+        assert "Greek" not in t and bool(regex.search(r"\p{Greek}", t)) == bool(regex.search(r"\p{Greek}", new)) and bool(regex.search(r"\p{Cyrillic}", t)) == bool(regex.search(r"\p{Cyrillic}", new))
+    two = pii.surrogated(spark.createDataFrame([(1, "saw Mr Smith Mrs Jones and Herr Braun den Hund")], "doc_id long, text string")).first()
+    assert two.n_found == 3 and "Mrs" in two.text and two.text.endswith(" den Hund")
