@@ -136,8 +136,20 @@ def checked(digits: Column) -> Column:
     return F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), ((10 - total % 10) % 10).cast("string"))
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate, in normal form, that an attempt draws for an entity."""
+def family_of(norm: Column) -> Column:
+    """The family name of a name's normal form."""
+    return F.element_at(F.split(norm, " "), -1)
+
+
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str, family: Column | None = None) -> Column:
+    """The surrogate, in normal form, that an attempt draws for an entity.
+
+    A name's family name is drawn from the family name alone, and each part before it
+    from gender and part, so that all mentions of a person agree. ``family`` is the
+    family name drawn for a name; the first attempt's if there is none. The kind
+    "family" draws such a one.
+    """
+    first = surrogate(F.lit("family"), family_of(norm), F.lit(0), key, F.lit("")) if family is None else family
 
     def from_seed(seed):
         octets = F.concat_ws(".", *[(_draw(seed, i, 254) + 1).cast("string") for i in range(4)])
@@ -153,18 +165,30 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             .when(kind == "national_id", F.concat(F.lit("9"), rest(2)))
             .when(kind == "phone", F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), (_draw(seed, 0, 8) + 2).cast("string"), F.substring(shaped(norm, seed), -9, 9)))
             .when(kind == "iban", F.concat(F.substring(norm, 1, 2), rest(3)))
-            .when(kind == "name", F.concat(F.substring(norm, 1, 2), let(F.substring(norm, 3, 200), lambda words: _name(F.substring(norm, 1, 1), words, seed)), more))
+            .when(kind == "family", F.concat(shaped(norm, seed), F.when(attempt >= SHORT, _letters(norm, seed)).otherwise("")))
+            .when(kind == "name", F.concat(F.substring(norm, 1, 2), _name(F.substring(norm, 1, 1), F.split(F.substr(norm, F.lit(3)), " "), first, attempt, key)))
             .otherwise(shaped(norm, seed))
         )
 
     return let(F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256), from_seed)
 
 
-def _name(gender: Column, words: Column, seed: Column) -> Column:
-    parts = F.split(words, " ")
-    family = shaped(F.element_at(parts, -1), F.concat(seed, F.lit("family")))
-    before = F.slice(parts, 1, F.size(parts) - 1)
-    return F.array_join(F.concat(F.transform(before, lambda p, k: _before(gender, p, F.concat(seed, F.lit(":"), k.cast("string")))), F.array(family)), " ")
+def _letters(text: Column, seed: Column) -> Column:
+    """Eight letters more, of the script of ``text``."""
+    template = F.lit("abcdefgh")
+    for script, alphabet in SCRIPTS.items():
+        template = F.when(text.rlike(rf"\p{{Is{script}}}"), alphabet[:8]).otherwise(template)
+    return shaped(template, F.concat(seed, F.lit("more")))
+
+
+def _name(gender: Column, parts: Column, family: Column, attempt: Column, key: str) -> Column:
+    """A name with the given ``family`` name; what comes before is drawn part by part."""
+
+    def drawn(part):
+        seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), gender, part, attempt.cast("string")), 256)
+        return let(seed, lambda x: F.concat(_before(gender, part, x), F.when((attempt >= SHORT) & ~part.endswith(".") & ~part.isin(*PARTICLES, *ARTICLES), _letters(part, x)).otherwise("")))
+
+    return F.array_join(F.concat(F.transform(F.slice(parts, 1, F.size(parts) - 1), drawn), F.array(family)), " ")
 
 
 def _other(part: Column, names: list[str], seed: Column) -> Column:
@@ -208,8 +232,21 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, attempt, drawn) with distinct surrogates, none of them an entity itself."""
-    draw = surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)
+    """(kind, norm, attempt, drawn) with distinct surrogates, none of them an entity itself.
+
+    Family names are settled first, then names with them; a name's attempts count both.
+    """
+    families = found.where("kind = 'name'").select(F.lit("family").alias("kind"), family_of(F.col("norm")).alias("norm")).distinct()
+    families = _settled(families.withColumn("family", F.lit("")), key).select(F.col("norm").alias("_of"), F.col("drawn").alias("family"), F.col("attempt").alias("_before"))
+    of = F.when(F.col("kind") == "name", family_of(F.col("norm")))
+    whole = cut(found.select("kind", "norm", of.alias("_of")).join(families, "_of", "left").select("kind", "norm", "family", F.coalesce("_before", F.lit(0)).alias("_before")))
+    table = _settled(whole.select("kind", "norm", "family"), key).select("kind", "norm", "attempt", "drawn")
+    return table.join(whole.select("kind", "norm", "_before"), ["kind", "norm"]).select("kind", "norm", (F.col("attempt") + F.col("_before")).alias("attempt"), "drawn")
+
+
+def _settled(found: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, family, attempt, drawn) of ``found`` (kind, norm, family), redrawn until all are distinct and none an entity."""
+    draw = surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key, F.col("family"))
     table = cut(found.withColumn("attempt", F.lit(0)).withColumn("drawn", draw))
     for _ in range(ATTEMPTS):
         several = table.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
@@ -220,8 +257,8 @@ def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
             drop_cut(again)
             return table
         more = table.join(again, ["kind", "norm"], "left")
-        kept = more.where("again is null").select("kind", "norm", "attempt", "drawn")
-        redrawn = more.where("again = 1").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")).withColumn("drawn", draw)
+        kept = more.where("again is null").select("kind", "norm", "family", "attempt", "drawn")
+        redrawn = more.where("again = 1").select("kind", "norm", "family", (F.col("attempt") + 1).alias("attempt")).withColumn("drawn", draw)
         new = cut(kept.unionByName(redrawn))
         drop_cut(table)
         drop_cut(again)

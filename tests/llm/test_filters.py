@@ -163,3 +163,18 @@ def test_no_part_of_a_name_survives(spark):
         assert "Greek" not in t and bool(regex.search(r"\p{Greek}", t)) == bool(regex.search(r"\p{Greek}", new)) and bool(regex.search(r"\p{Cyrillic}", t)) == bool(regex.search(r"\p{Cyrillic}", new))
     two = pii.surrogated(spark.createDataFrame([(1, "saw Mr Smith Mrs Jones and Herr Braun den Hund")], "doc_id long, text string")).first()
     assert two.n_found == 3 and "Mrs" in two.text and two.text.endswith(" den Hund")
+
+
+def test_mentions_of_one_person_agree(spark):
+    rows = [(1, "Mr. John Smith and later Mr. Smith, Mrs. Smith, Mr. J. Smith"), (2, "Mr. John Stone; Mrs. Jane Smith; Mr. Smith"), *((10 + i, f"Mr. {chr(65 + i % 26)}o{chr(97 + i // 26)} Smith!") for i in range(60)), *((100 + i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)}!") for i in range(200))]
+    got = {r.doc_id: r.text for r in pii.surrogated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = lambda i: regex.findall(r"(?:Mrs?\.? )(.*?)(?= and|,|;|!|$)", got[i])
+    john, short, wife, initial = words(1)
+    family = short
+    assert wife == family and john.split()[1] == family and initial.split()[1] == family and initial.split()[0].endswith(".") and family != "Smith"
+    stone, jane, again = words(2)
+    assert jane.split()[1] == family == again and stone.split()[1] != family
+    many = [words(10 + i)[0] for i in range(60)]
+    assert len({john, *many}) == 61 and all(x.split()[1] == family for x in many)
+    few = [words(100 + i)[0] for i in range(200)]
+    assert len({family, *few}) == 201 and not {*few} & {t[3:5] for i, t in rows if i >= 100}
