@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import cut, drop_cut
 
 KEY = "pixelmill-test-key"
-SHORT = 3  # attempts after which a short name or address gets letters added, as its shape may have too few values
-ATTEMPTS = 40
+SHORT = 3  # attempts after which a name, mail address or secret gets letters added, as its shape may have too few values
+WIDE = 8  # attempts after which the other kinds get longer with each, so that the redraw always ends
 MOST_BROADCAST = 10_000  # documents with a redrawn entity; more are joined by a shuffle
 
 # What is detected, in the order in which a match is named.
@@ -45,7 +45,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "ipv4": r"(?<![\d.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?!\d|\.\d)",
     "national_id": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
+    "card": r"(?<![\w.])(?:(?:[3-6]\d{3}|222[1-9]|22[3-9]\d|2[3-6]\d{2}|27[01]\d|2720)(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[3-6]\d{3}[ -]\d{6}[ -]\d{4,5})(?!\w)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": r"(?<!\p{L})" + TITLE + PART + r"(?:\s{1,3}" + PART + r")*+",
@@ -62,11 +62,14 @@ def let(value, body) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """The name of the first pattern that fits the whole of a match."""
+    """The name of the first pattern that fits the whole of a match; of a card, the check digit must be right too."""
     found = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
         body = pattern.replace("(?<![A-Za-z0-9._%+-])", "").replace("(?<![A-Za-z0-9])", "")
-        found = F.when(entity.rlike(f"^(?:{body})$"), name).otherwise(found)
+        fits = entity.rlike(f"^(?:{body})$")
+        if name == "card":
+            fits = fits & let(F.regexp_replace(entity, "[^0-9]", ""), lambda d: checked(d) == d)
+        found = F.when(fits, name).otherwise(found)
     return found
 
 
@@ -157,17 +160,18 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str, family: Col
         local = shaped(F.regexp_extract(norm, r"^[^@]*", 0), seed)
         host = shaped(F.regexp_extract(norm, r"@([^.]*)", 1), F.concat(seed, F.lit("host")))
         more = F.when(attempt >= SHORT, shaped(F.lit("abcdefgh"), F.concat(seed, F.lit("more")))).otherwise("")
+        wide = F.when(attempt >= WIDE, shaped(F.repeat(F.lit("0"), attempt - WIDE + 1), F.concat(seed, F.lit("wide")))).otherwise("")
         return (
             F.when(kind == "email", F.concat(local, more, F.lit("@"), host, F.lit(".example.org")))
-            .when(kind == "ipv4", octets)
-            .when(kind == "access_key", F.concat(F.lit("AKIA"), rest(5)))
-            .when(kind == "card", let(F.concat(F.substring(norm, 1, 1), rest(2)), checked))
-            .when(kind == "national_id", F.concat(F.lit("9"), rest(2)))
-            .when(kind == "phone", F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), (_draw(seed, 0, 8) + 2).cast("string"), F.substring(shaped(norm, seed), -9, 9)))
-            .when(kind == "iban", F.concat(F.substring(norm, 1, 2), rest(3)))
+            .when(kind == "ipv4", F.concat(octets, F.when(attempt >= WIDE, F.concat(F.lit(":"), wide)).otherwise("")))
+            .when(kind == "access_key", F.concat(F.lit("AKIA"), rest(5), wide))
+            .when(kind == "card", let(F.concat(F.when(norm.startswith("2"), F.concat(F.lit("2"), (_draw(seed, 1, 500) + 221).cast("string"), rest(5))).otherwise(F.concat(F.substring(norm, 1, 1), rest(2))), wide), checked))
+            .when(kind == "national_id", F.concat(F.when(attempt >= SHORT, rest(1)).otherwise(F.concat(F.lit("9"), rest(2))), wide))
+            .when(kind == "phone", F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), (_draw(seed, 0, 8) + 2).cast("string"), F.substring(shaped(norm, seed), -9, 9), wide))
+            .when(kind == "iban", F.concat(F.substring(norm, 1, 2), rest(3), wide))
             .when(kind == "family", F.concat(shaped(norm, seed), F.when(attempt >= SHORT, _letters(norm, seed)).otherwise("")))
             .when(kind == "name", F.concat(F.substring(norm, 1, 2), _name(F.substring(norm, 1, 1), F.split(F.substr(norm, F.lit(3)), " "), first, attempt, key)))
-            .otherwise(shaped(norm, seed))
+            .otherwise(F.concat(shaped(norm, seed), more))
         )
 
     return let(F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256), from_seed)
@@ -186,7 +190,7 @@ def _name(gender: Column, parts: Column, family: Column, attempt: Column, key: s
 
     def drawn(part):
         seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), gender, part, attempt.cast("string")), 256)
-        return let(seed, lambda x: F.concat(_before(gender, part, x), F.when((attempt >= SHORT) & ~part.endswith(".") & ~part.isin(*PARTICLES, *ARTICLES), _letters(part, x)).otherwise("")))
+        return let(seed, lambda x: F.when((attempt >= WIDE) & part.endswith("."), shaped(F.lit("Abcdefgh"), x)).otherwise(F.concat(_before(gender, part, x), F.when((attempt >= SHORT) & ~part.endswith(".") & ~part.isin(*PARTICLES, *ARTICLES), _letters(part, x)).otherwise(""))))
 
     return F.array_join(F.concat(F.transform(F.slice(parts, 1, F.size(parts) - 1), drawn), F.array(family)), " ")
 
@@ -212,8 +216,9 @@ def rendered(kind: Column, entity: Column, drawn: Column) -> Column:
         nth = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"[^0-9A-Z]", ""))
         return let(F.substring(entity, i, F.lit(1)), lambda c: F.when(c.rlike("^[0-9A-Z]$"), F.substring(drawn, nth, F.lit(1))).otherwise(c))
 
+    beyond = F.substr(drawn, F.length(F.regexp_replace(entity, r"[^0-9A-Z]", "")) + 1)
     return (
-        F.when(kind.isin("card", "phone", "national_id", "iban"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), placed), ""))
+        F.when(kind.isin("card", "phone", "national_id", "iban"), F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), placed), ""), beyond))
         .when(kind == "secret", F.concat(F.regexp_extract(entity, "^" + PREFIX, 0), drawn))
         .when(kind == "name", F.concat(F.regexp_extract(entity, "^" + TITLE, 0), F.substring(drawn, F.lit(3), F.length(drawn))))
         .when((kind == "email") & (F.upper(entity) == entity), F.upper(drawn))
@@ -248,7 +253,7 @@ def _settled(found: DataFrame, key: str) -> DataFrame:
     """(kind, norm, family, attempt, drawn) of ``found`` (kind, norm, family), redrawn until all are distinct and none an entity."""
     draw = surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key, F.col("family"))
     table = cut(found.withColumn("attempt", F.lit(0)).withColumn("drawn", draw))
-    for _ in range(ATTEMPTS):
+    while True:
         several = table.groupBy("kind", "drawn").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
         late = table.join(several, ["kind", "drawn"]).where(F.struct("attempt", "norm") != F.col("first")).select("kind", "norm")
         taken = table.select("kind", "norm", "drawn").join(found.select("kind", F.col("norm").alias("drawn")), ["kind", "drawn"], "left_semi").select("kind", "norm")
@@ -263,7 +268,6 @@ def _settled(found: DataFrame, key: str) -> DataFrame:
         drop_cut(table)
         drop_cut(again)
         table = new
-    raise ValueError(f"some format has too few values for its entities: {ATTEMPTS} attempts left clashes")
 
 
 def surrogated(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -274,7 +278,7 @@ def surrogated(docs: DataFrame, key: str = KEY) -> DataFrame:
     redrawn = None
     if not exceptions.isEmpty():
         name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-        each = docs.select(name.alias("_name"), F.sha2("text", 256).alias("_sha"), F.explode(_found(F.col("text"))).alias("x")).select("_name", "_sha", "x.kind", "x.norm").distinct()
+        each = docs.select(name.alias("_name"), F.sha2("text", 256).alias("_sha"), F.explode(_found(F.col("text"))).alias("x")).select("_name", "_sha", "x.kind", "x.norm").where("kind is not null").distinct()
         redrawn = cut(each.join(exceptions, ["kind", "norm"]).groupBy("_name", "_sha").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "drawn"))).alias("_redrawn")))
         small = redrawn.count() <= MOST_BROADCAST
         docs = docs.withColumns({"_name": name, "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)}).join(F.broadcast(redrawn) if small else redrawn, ["_name", "_sha"], "left")
@@ -283,13 +287,14 @@ def surrogated(docs: DataFrame, key: str = KEY) -> DataFrame:
         drawn = surrogate(x["kind"], x["norm"], F.lit(0), key)
         if redrawn is not None:
             drawn = F.coalesce(F.element_at("_redrawn", F.concat_ws("|", x["kind"], x["norm"])), drawn)
-        return F.coalesce(let(drawn, lambda d: rendered(x["kind"], x["e"], d)), x["e"])
+        return F.when(x["kind"].isNull(), x["e"]).otherwise(F.coalesce(let(drawn, lambda d: rendered(x["kind"], x["e"], d)), x["e"]))
 
     docs = docs.withColumn("_found", F.coalesce(_found(F.col("text")), F.array().cast("array<struct<e:string,kind:string,norm:string>>")))
     ends = F.concat(F.transform("_found", replaced), F.array(F.lit("")))
     whole = F.array_join(F.transform(F.arrays_zip(F.split("text", PATTERN, -1).alias("gap"), ends.alias("end")), lambda z: F.concat(z["gap"], z["end"])), "")
     text = F.when(F.size("_found") > 0, whole).otherwise(F.col("text")).alias("text")
-    return docs.select(*[text if n == "text" else F.col(n) for n in names], F.size("_found").cast("long").alias("n_found"), F.array_sort(F.array_distinct(F.col("_found.kind"))).alias("kinds"))
+    kinds = F.filter("_found.kind", lambda k: k.isNotNull())  # none: a long number that isn't a card
+    return docs.select(*[text if n == "text" else F.col(n) for n in names], F.size(kinds).cast("long").alias("n_found"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
 
 
 def op7(spark, sf_dir) -> DataFrame:

@@ -178,3 +178,18 @@ def test_mentions_of_one_person_agree(spark):
     assert len({john, *many}) == 61 and all(x.split()[1] == family for x in many)
     few = [words(100 + i)[0] for i in range(200)]
     assert len({family, *few}) == 201 and not {*few} & {t[3:5] for i, t in rows if i >= 100}
+
+
+def test_cards_need_their_check_digit(spark):
+    texts = ["3782 822463 10005", "2223003122003222", "4041894974608796", "x 5105 1051 0510 5101, 5105 1051 0510 5100"]
+    got = {r.doc_id: r for r in pii.surrogated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_found for i in range(4)] == [1, 1, 0, 1] and [got[i].kinds for i in range(4)] == [["card"], ["card"], [], ["card"]]
+    assert got[2].text == texts[2] and got[3].text.startswith("x 5105 1051 0510 5101, 5") and got[3].text != texts[3]
+    for i in (0, 1):
+        assert got[i].text != texts[i] and regex.sub(r"\d", "0", got[i].text) == regex.sub(r"\d", "0", texts[i]) and regex.fullmatch(pii.PATTERNS["card"], got[i].text)
+
+
+def test_redraws_end(spark):
+    texts = [f"token=-------{i}" for i in range(10)] + ["secret: ________"] + [f"Mr. {chr(65 + i)}. Smith!" for i in range(26)]
+    got = {r.doc_id: r.text for r in pii.surrogated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
