@@ -15,11 +15,13 @@ A task sends each vector's number of links and a spanning star, never its pairs.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without label, link with nothing; vectors of different lengths
 don't link; a null vec_id sorts last and stays null; equal vectors link; repeated
-rows count as different vectors; an empty table gives an empty result.
+rows count as different vectors; vectors that share a vec_id or have none are told apart; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,6 +128,14 @@ def compared(rows: np.ndarray, ids: np.ndarray, weight: np.ndarray, split: int,
     return links, best[top]
 
 
+def _with_node(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with a number of its own for each row, whatever its ids: a hash of label and vector without collisions."""
+    for salt in count():
+        named = distinct.withColumn("node", F.xxhash64(F.lit(salt), "label", "v"))
+        if named.groupBy("node").count().where("count > 1").isEmpty():
+            return named
+
+
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, group: int = 2048, sample: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label)."""
     values = F.col("embedding").cast("array<double>")
@@ -135,6 +145,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, group: int = 20
     ok = F.coalesce(ok & (square > 0) & (square < float("inf")), F.lit(False))
     rows = rows.select("_id", "label", "v", ok.alias("ok"))
     distinct = cut(rows.where("ok").groupBy("label", "v").agg(F.min("_id").alias("rep"), F.count("*").alias("n")))
+    distinct = _with_node(distinct)
     axes = {}
     for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect():
         axes.setdefault(len(r.v), []).append(r.v)
@@ -143,26 +154,27 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, group: int = 20
     keys = ["label", "d"]
     sized = distinct.select("*", F.size("v").alias("d"))
     groups = sized.groupBy(*keys).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    dealt = sized.join(groups, keys).withColumn("g", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
+    dealt = sized.join(groups, keys).withColumn("g", F.pmod("node", F.col("groups")).cast("int"))
     sides = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    sides = sides.select(*keys, F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), (F.col("g") > F.col("o")).alias("second"), "rep", "n", "v")
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    sides = sides.select(*keys, F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), (F.col("g") > F.col("o")).alias("second"), "node", "n", "v")
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def task(part: pa.Table) -> pa.Table:
         second = part.column("second").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.lexsort((part.column("rep").to_numpy(), second))
-        ids, weight = part.column("rep").to_numpy()[order], part.column("n").to_numpy()[order]
+        order = np.lexsort((part.column("node").to_numpy(), second))
+        ids, weight = part.column("node").to_numpy()[order], part.column("n").to_numpy()[order]
         matrix = np.stack(part.column("v").to_pandas().to_numpy())[order]
         within = part.column("a")[0] == part.column("b")[0]
         links, root = compared(matrix, ids, weight, len(ids) if within else int((~second).sum()), within, axes.get(matrix.shape[1]), threshold)
         on = links > 0
         return pa.Table.from_arrays([pa.array(x[on]) for x in (ids, links, root)], schema=schema)
 
-    found = cut(sides.groupBy(*keys, "a", "b").applyInArrow(task, "rep long, links long, root long"))
-    named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = distinct.join(counts, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    found = cut(sides.groupBy(*keys, "a", "b").applyInArrow(task, "node long, links long, root long"))
+    named = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = distinct.join(counts, "node", "left").join(named, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    least = classes.groupBy("root").agg(F.min("rep").alias("component"))
+    classes = classes.join(least, "root").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
     linked = rows.where("ok").join(classes, ["label", "v"]).select("_id", "links", "component")
     alone = rows.where("not ok").select("_id", F.lit(0).cast("long").alias("links"), F.col("_id").alias("component"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -72,3 +72,10 @@ def test_tiles_find_all_links():
     a, b = compared(rows, np.arange(len(rows)), np.ones(len(rows), np.int64), 300, False, principal_axes(rows), 0.93)
     assert (a == np.concatenate([want[:300, 300:].sum(axis=1), want[300:, :300].sum(axis=1)])).all()
     assert (root <= np.arange(len(rows))).all() and (b <= np.arange(len(rows))).all()
+
+
+def test_vectors_of_one_id_are_told_apart(spark):
+    rows = [(None, [1.0, 0.0], 0), (None, [0.0, 1.0], 0), (None, [1.0, 0.0], 1), (7, [1.0, 0.01], 0), (9, [3.0, 0.0], 1), (9, [0.0, 1.0], 2), (4, [0.0, 2.0], 2)]
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    seen = sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr)
+    assert seen == sorted([(None, 1, 7), (None, 0, None), (None, 1, 9), (7, 1, 7), (9, 1, 9), (9, 1, 4), (4, 1, 4)], key=repr)
