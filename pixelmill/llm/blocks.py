@@ -5,38 +5,42 @@ starts. Windows of equal content have the same minimiser (the least hash of thei
 short grams, leftmost on ties), so consecutive windows that share one travel as a
 single packed string to the bucket of that minimiser:
 
-1. documents are dealt once by a hash of their id into blocks; that exchange is
-   used again by every later step;
-2. each block sends its distinct minimisers, packed per bucket; a bucket answers
-   which of them occur again, in any block, and which are hot;
-3. each block sends its distinct packed strings under those minimisers, once each
-   however many of its documents hold them; strings under a hot minimiser are cut
-   into smaller pieces dealt by the content that all windows of a piece share;
-4. a bucket judges the windows exactly and answers by block and piece;
+1. documents are dealt once by a hash of id and text into blocks of a few megabytes;
+   that exchange is used again by every later step;
+2. each block sends one row for each of its distinct minimisers; a window function
+   tells which of them occur again, in any block, and which are hot;
+3. each block sends its distinct packed strings under those minimisers, one row each
+   however many of its documents hold them, with the places of their occurrences;
+   strings under a hot minimiser are cut into smaller pieces dealt by the content that
+   all windows of a piece share;
+4. a bucket judges the windows exactly and sends verdicts to the places;
 5. each block applies the verdicts to its documents.
 
-No step broadcasts or collects anything, and every step is a plain shuffle that
-Spark can recompute when an executor is lost.
+Rows grow in proportion to the text, whatever the number of partitions. No step
+broadcasts or collects documents, and every step is a plain shuffle that Spark can
+recompute when an executor is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import mixed, partitions, string_parts, with_id
+from pixelmill.llm.common import bounded, partitions, string_parts, with_id
 
-CHUNK = 4 << 20  # bytes of packed strings judged at a time
+BLOCK = 4 << 20  # bytes of text in a block, where there are more of it than partitions need
+CHUNK = 4 << 20  # bytes of packed strings judged at a time; a minimiser's strings stay together
 
+KEYS = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("runs", pa.int64()), ("several", pa.bool_())])
+STRINGS = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("packed", pa.binary()), ("count", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("starts", pa.binary())])
+ANSWERS = pa.schema([("block", pa.int32()), ("count", pa.int32()), ("starts", pa.binary()), ("verdict", pa.binary())])
+TYPES = {pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
 
-def _binary(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
 
-
-def _joined(column, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {TYPES[f.type]}" for f in schema)
 
 
 def _documents(found: pa.Table):
@@ -47,11 +51,7 @@ def _documents(found: pa.Table):
 
 
 def _pieces(rule, ids, data, at, keys, hot):
-    """Packed strings of a block whose minimiser occurs again.
-
-    Gives the rule's view of the block, the windows of each occurrence and the
-    distinct piece it is of, and the distinct pieces with what the rule sums up.
-    """
+    """Distinct packed strings of a block whose minimiser occurs again: (key, string, count, low, high, starts) of each."""
     view = rule.view(data, at)
     order = np.argsort(keys)
     keys, hot = keys[order], hot[order]
@@ -66,124 +66,79 @@ def _pieces(rule, ids, data, at, keys, hot):
     lo, hi = view.span(start, count)
     text, seen = view.text, {}
     piece = np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.int64, len(lo))
-    distinct = list(seen)
-    first = np.zeros(len(distinct), np.int64)
-    first[piece[::-1]] = np.arange(len(piece))[::-1]
-    value = rule.summed(piece, ids[view.doc_of(start)], len(distinct))
-    return view, start, count, piece, distinct, key[first], count[first], value
-
-
-def _answers(found: pa.Table):
-    """The again-occurring minimisers of a block and whether each is hot; packed verdicts by piece."""
-    kinds = np.array(found.column("kind").to_pylist(), dtype=object)
-    first = found.filter(pa.array(kinds == "key")) if len(kinds) else found
-    rest = found.filter(pa.array(kinds == "verdict")) if len(kinds) else found
-    keys, hot = _joined(first.column("a"), np.uint64), _joined(first.column("b"), np.uint8).astype(bool)
-    told = {}
-    for a, b, c in zip(*(rest.column(x).to_pylist() for x in "abc"), strict=True):
-        at = 0
-        for n, size in zip(np.frombuffer(a, np.int32).tolist(), np.frombuffer(b, np.int32).tolist(), strict=True):
-            told[n] = c[at : at + size]
-            at += size
-    return keys, hot, told
-
-
-ANSWER = "block int, kind string, a binary, b binary, c binary"
-ANSWER_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-
-
-def _table(rows, schema):
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+    order = np.argsort(piece, kind="stable")
+    ends = np.cumsum(np.bincount(piece, minlength=len(seen)))
+    first = order[ends - np.bincount(piece, minlength=len(seen))]
+    low, high = rule.summed(piece, ids[view.doc_of(start)], len(seen))
+    places = start[order].astype(np.int32).tobytes()
+    starts = [places[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(seen) else []
+    return key[first], list(seen), count[first], low, high, starts
 
 
 def judged(docs: DataFrame, rule, schema: str, blocks: int | None = None, hot_runs: int = 4096) -> DataFrame:
     """``rule.finish`` applied to every block of ``docs`` (doc_id, text) with the verdicts on its windows.
 
-    blocks: how many blocks documents are dealt into; 4 per shuffle partition unless
-    given. hot_runs: a minimiser with more packed strings than this is cut finer.
+    blocks: how many blocks documents are dealt into; unless given, 4 per shuffle
+    partition or as many as hold BLOCK bytes each, whichever is more. hot_runs: a
+    minimiser with more packed strings than this is cut finer.
     """
-    spark = docs.sparkSession
-    many = partitions(spark)
-    blocks = blocks or 4 * many
-    source = with_id(docs).select("_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartition(many, "block")
-    cell = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
-    cells = "bucket int, block int, a binary, b binary, c binary, d binary, e binary"
+    many = partitions(docs.sparkSession)
+    rows = with_id(bounded(docs)).select("_id", F.col("text").cast("string").alias("text"))
+    if blocks is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(4 * many, -(-size // BLOCK))
+    source = rows.withColumn("block", F.pmod(F.xxhash64("_id", "text"), F.lit(blocks)).cast("int")).repartition(many, "block")
 
     def keys_of(block: pa.Table) -> pa.Table:
         ids, data, at = _documents(block)
-        view = rule.view(data, at)
-        key, runs, several = rule.keys(view, ids)
-        bucket = (mixed(key) % np.uint64(many)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        name, rows = block.column("block")[0].as_py(), []
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            rows.append((int(bucket[part[0]]), name, _binary(key[part]), _binary(runs[part].astype(np.uint32)), _binary(several[part].astype(np.uint8)), b"", b""))
-        return _table(rows, cell)
-
-    def again_of(group: pa.Table) -> pa.Table:
-        key, runs, several = _joined(group.column("a"), np.uint64), _joined(group.column("b"), np.uint32), _joined(group.column("c"), np.uint8)
-        sizes = np.array([len(x) // 8 for x in group.column("a").to_pylist()])
-        block = np.repeat(np.array(group.column("block").to_pylist()), sizes)
-        _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-        total = np.bincount(inverse, runs.astype(np.int64))
-        again = ((n > 1) | (np.bincount(inverse, several) > 0))[inverse]
-        hot = (total > hot_runs)[inverse]
-        key, block, hot = key[again], block[again], hot[again]
-        order = np.argsort(block, kind="stable")
-        rows = []
-        for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
-            rows.append((int(block[part[0]]), "key", _binary(key[part]), _binary(hot[part].astype(np.uint8)), b""))
-        return _table(rows, ANSWER_ARROW)
-
-    def strings_of(block: pa.Table, answers: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return _table([], cell)
-        ids, data, at = _documents(block)
-        keys, hot, _ = _answers(answers)
-        _, _, _, _, distinct, key, count, value = _pieces(rule, ids, data, at, keys, hot)
-        bucket = (mixed(key) % np.uint64(many)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        name, rows = block.column("block")[0].as_py(), []
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            strings = [distinct[i] for i in part.tolist()]
-            rows.append((int(bucket[part[0]]), name, _binary(key[part]), _binary(part.astype(np.int32)), _binary(np.array([len(x) for x in strings], np.int32)), b"".join(strings), _binary(np.stack([count[part], value[part]], 1).astype(np.int64))))
-        return _table(rows, cell)
-
-    def verdicts_of(group: pa.Table) -> pa.Table:
-        key, piece, size = _joined(group.column("a"), np.uint64), _joined(group.column("b"), np.int32), _joined(group.column("c"), np.int32)
-        count, value = _joined(group.column("e"), np.int64).reshape(-1, 2).T
-        block = np.repeat(np.array(group.column("block").to_pylist(), dtype=np.int32), [len(x) // 8 for x in group.column("a").to_pylist()])
-        blobs = group.column("d").to_pylist()
-        text, upto = b"".join(blobs), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        del blobs
-        order = np.argsort(key, kind="stable")
-        told: dict[int, list] = {}
-        begin = 0
-        grown, changes = np.cumsum(size[order], dtype=np.int64), np.flatnonzero(np.diff(key[order])) + 1
-        ends = np.append(changes, len(order))
-        while begin < len(order):
-            least = (grown[begin - 1] if begin else 0) + CHUNK
-            end = int(ends[min(np.searchsorted(ends, np.searchsorted(grown, least), side="right"), len(ends) - 1)])
-            part = order[begin:end]
-            strings = [text[upto[i] : upto[i] + size[i]] for i in part.tolist()]
-            for i, verdict in rule.judge(key[part], strings, count[part], value[part]):
-                told.setdefault(int(block[part[i]]), []).append((int(piece[part[i]]), verdict))
-            begin = end
-        rows = []
-        for name, found in told.items():
-            rows.append((name, "verdict", _binary(np.array([x[0] for x in found], np.int32)), _binary(np.array([len(x[1]) for x in found], np.int32)), b"".join(x[1] for x in found)))
-        return _table(rows, ANSWER_ARROW)
+        key, runs, several = rule.keys(rule.view(data, at), ids)
+        name = np.full(len(key), block.column("block")[0].as_py(), np.int32)
+        return pa.table([name, key.view(np.int64), runs.astype(np.int64), several.astype(bool)], schema=KEYS)
+
+    def strings_of(block: pa.Table, again: pa.Table) -> pa.Table:
+        if not block.num_rows or not again.num_rows:
+            return STRINGS.empty_table()
+        keys, hot = again.column("key").to_numpy().view(np.uint64), again.column("hot").to_numpy(zero_copy_only=False)
+        key, strings, count, low, high, starts = _pieces(rule, *_documents(block), keys, hot)
+        name = np.full(len(key), block.column("block")[0].as_py(), np.int32)
+        return pa.table([key.view(np.int64), name, pa.array(strings, pa.binary()), count.astype(np.int32), low, high, pa.array(starts, pa.binary())], schema=STRINGS)
+
+    def told(found: pa.Table):
+        key, count, low, high = (found.column(c).to_numpy() for c in ("key", "count", "low", "high"))
+        verdicts = list(rule.judge(key.view(np.uint64), found.column("packed").to_pylist(), count.astype(np.int64), low, high))
+        if verdicts:
+            kept = found.select(["block", "count", "starts"]).take(pa.array([i for i, _ in verdicts], pa.int64()))
+            yield from kept.append_column("verdict", pa.array([v for _, v in verdicts], pa.binary())).cast(ANSWERS).to_batches(max_chunksize=10_000)
+
+    def verdicts_of(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < CHUNK:
+                continue
+            found = pa.Table.from_batches(held)
+            key = found.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # the last minimiser may go on in the next batch
+            if whole:
+                yield from told(found.slice(0, whole))
+            held = found.slice(whole).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held) if whole else 0
+        if held:
+            yield from told(pa.Table.from_batches(held))
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return rule.nothing()
-        ids, data, at = _documents(block)
-        keys, hot, told = _answers(answers)
-        view, start, count, piece, _, _, _, value = _pieces(rule, ids, data, at, keys, hot)
-        return rule.finish(view, ids, at, start, count, piece, value, told)
-
-    again = source.groupBy("block").applyInArrow(keys_of, cells).repartition(many, "bucket").groupBy("bucket").applyInArrow(again_of, ANSWER).repartition(many, "block")
-    strings = source.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(strings_of, cells)
-    verdicts = strings.repartition(many, "bucket").groupBy("bucket").applyInArrow(verdicts_of, ANSWER)
-    answers = again.unionByName(verdicts).repartition(many, "block")
-    return source.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+        starts = [np.frombuffer(x, np.int32) for x in answers.column("starts").to_pylist()]
+        return rule.finish(*_documents(block), starts, answers.column("count").to_pylist(), answers.column("verdict").to_pylist())
+
+    of_key = Window.partitionBy("key")  # at most a row for each block
+    keys = source.groupBy("block").applyInArrow(keys_of, _ddl(KEYS)).repartition(many, "key")
+    keys = keys.select("block", "key", F.count("*").over(of_key).alias("n"), F.sum("runs").over(of_key).alias("total"), F.max("several").over(of_key).alias("several"))
+    again = keys.where("n > 1 or several").select("block", "key", (F.col("total") > hot_runs).alias("hot")).repartition(many, "block")
+    strings = source.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(strings_of, _ddl(STRINGS))
+    verdicts = strings.repartition(many, "key").sortWithinPartitions("key").mapInArrow(verdicts_of, _ddl(ANSWERS)).repartition(many, "block")
+    return source.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(finish, schema)

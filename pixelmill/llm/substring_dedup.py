@@ -128,13 +128,15 @@ class Earlier:
         return key, start, one
 
     def summed(self, piece, ids, n):
-        least = np.full(n, NO_ID, np.int64)
+        """The smallest and the greatest doc_id of each piece in a block."""
+        least, most = np.full(n, NO_ID, np.int64), np.full(n, -NO_ID - 1, np.int64)
         np.minimum.at(least, piece, ids)
-        return least
+        np.maximum.at(most, piece, ids)
+        return least, most
 
-    def judge(self, key, strings, count, value):
+    def judge(self, key, strings, count, low, high):
         least: dict[bytes, int] = {}
-        for text, doc in zip(strings, value.tolist(), strict=True):
+        for text, doc in zip(strings, low.tolist(), strict=True):
             if doc < least.get(text, NO_ID + 1):
                 least[text] = doc
         length, windows, spans = self.length, [], {}
@@ -145,15 +147,12 @@ class Earlier:
             windows.extend((w, doc) for w in mine)
         windows.sort()
         first: dict[bytes, int] = {}
-        last = None
         for window, doc in windows:
-            if window != last:
-                first[window] = doc
-                last = window
-        for i, (text, doc) in enumerate(zip(strings, value.tolist(), strict=True)):
-            found = [first[w] for w in spans[text]]
-            if min(found) < doc:
-                yield i, np.array(found, np.int64).tobytes()
+            first.setdefault(window, doc)
+        told = {text: np.array([first[w] for w in mine], np.int64) for text, mine in spans.items()}
+        for i, (text, last) in enumerate(zip(strings, high.tolist(), strict=True)):
+            if told[text].min() < last:
+                yield i, told[text].tobytes()
 
     def nothing(self):
         return self._table([], [], [], [], [])
@@ -161,26 +160,23 @@ class Earlier:
     def _table(self, ids, words, removed, sha, kept):
         return pa.table({"doc_id": pa.array([None if x == NO_ID else x for x in ids], pa.int64()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.string())})
 
-    def finish(self, view, ids, at, start, count, piece, value, told):
-        found = {p: np.frombuffer(x, np.int64) for p, x in told.items()}
-        change = np.zeros(view.n + self.length + 1, np.int32)
-        whole = np.array([p not in found for p in range(len(value))], bool)
-        mine = ids[view.doc_of(start)]
-        plain = whole[piece]
-        late = plain & (value[piece] < mine)
-        np.add.at(change, start[late], 1)
-        np.add.at(change, start[late] + count[late] - 1 + self.length, -1)
-        for s, p, doc in zip(start[~plain].tolist(), piece[~plain].tolist(), mine[~plain].tolist(), strict=True):
-            hit = s + np.flatnonzero(found[p] < doc)
-            change[hit] += 1
-            change[hit + self.length] -= 1
-        gone = np.cumsum(change[: view.n]) > 0
-        kept = np.repeat(~gone, np.diff(view.begin))
-        left = view.letters[kept].tobytes()
+    def finish(self, ids, data, at, starts, count, verdict):
+        first, last, before = words_of(data, at)
+        letters, begin, _, _ = joined_words(data, first, last)
+        change = np.zeros(len(first) + self.length + 1, np.int32)
+        for places, found in zip(starts, verdict, strict=True):
+            least = np.frombuffer(found, np.int64)
+            for s, doc in zip(places.tolist(), ids[np.searchsorted(before, places, side="right") - 1].tolist(), strict=True):
+                hit = s + np.flatnonzero(least < doc)
+                change[hit] += 1
+                change[hit + self.length] -= 1
+        gone = np.cumsum(change[: len(first)]) > 0
+        kept = np.repeat(~gone, np.diff(begin))
+        left = letters[kept].tobytes()
         lost = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
-        upto = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[view.begin[view.before]]
+        upto = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[begin[before]]
         parts = [left[a : max(a, b - 1)] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-        return self._table(ids.tolist(), np.diff(view.before), np.diff(lost[view.before]), [hashlib.sha256(x).hexdigest() for x in parts], [x.decode() for x in parts])
+        return self._table(ids.tolist(), np.diff(before), np.diff(lost[before]), [hashlib.sha256(x).hexdigest() for x in parts], [x.decode() for x in parts])
 
 
 def substring_dedup(docs: DataFrame, length: int = 13, blocks: int | None = None, hot_runs: int = 4096) -> DataFrame:

@@ -1,10 +1,10 @@
 """Removal of long repeated byte strings by a sparse suffix array.
 
-Suffixes are sorted deep-shallow: multikey sorting by eight-byte characters down to
-a shallow depth, then blind tries (only the branching character of each suffix is
-looked at, after one comparison with its group's first suffix) order the groups
-whose common prefix is longer. Sorting is done per minimiser bucket (``blocks``), so
-only suffixes that can share ``length`` bytes ever meet.
+Suffixes are sorted deep-shallow: multikey quicksort by eight-byte characters down to
+a shallow depth, then blind tries order the groups whose common prefix is longer.
+Verdicts are read from the sorted order. Sorting is done per minimiser bucket
+(``blocks``), so only suffixes that can share ``length`` bytes ever meet; equal packed
+strings of a bucket are sorted once, weighted by how often they occur.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep all;
 a null doc_id stays null in the result; repeated rows count as separate documents,
@@ -34,55 +34,88 @@ def deep_shallow(buffer: np.ndarray, starts: np.ndarray, group: np.ndarray, leng
 
     Gives the order and, along it, the place of the first suffix that equals each one
     over ``length`` bytes. ``buffer`` needs ``length`` + 8 bytes after the last start.
+    All groups are sorted side by side, so that each step is one pass over arrays.
     """
     words = np.ndarray((len(buffer) - 7,), ">u8", np.ascontiguousarray(buffer), 0, (1,))
-    last = length - 8
-    depths = [*range(0, last, 8), last]
+    depths = np.array([*range(0, length - 8, 8), length - 8])
     order = np.argsort(group, kind="stable")
     same = group[order]
     head = np.concatenate([[True], same[1:] != same[:-1]]) if len(same) else np.zeros(0, bool)
     place = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0)) if len(order) else order
+    at = _open(np.arange(len(order)), place)
+    deep = _multikey_quicksort(words, starts, depths, order, place, at, int(np.searchsorted(depths, min(shallow, length - 8))))
+    _blind_tries(words, starts, depths, order, place, deep)
+    return order, place
+
+
+def _open(at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Those of the places ``at`` whose group has more than one suffix."""
+    p = place[at]
+    more = np.zeros(len(p), bool)
+    more[1:] = p[1:] == p[:-1]
+    more[:-1] |= more[1:]
+    return at[more]
+
+
+def _regroup(place: np.ndarray, at: np.ndarray, changed: np.ndarray) -> None:
+    place[at] = at[np.maximum.accumulate(np.where(changed, np.arange(len(at)), 0))]
+
 
-    def live(at):
-        """Those of the places ``at`` whose group has more than one suffix."""
+def _multikey_quicksort(words, starts, depths, order, place, at, shallow: int) -> np.ndarray:
+    """Sort the groups at ``at`` down to ``depths[shallow]``; gives the places that are still open there.
+
+    Every round splits each open group into three by its middle suffix's word: less,
+    equal and greater. Equal ones go on at the next word.
+    """
+    level, deep = np.zeros(len(order), np.int64), []
+    while len(at):
+        ready = level[at] >= shallow
+        if ready.any():
+            deep.append(at[ready])
+            at = at[~ready]
+            continue
+        w, p = words[starts[order[at]] + depths[level[at]]].astype(np.uint64), place[at]
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        size = np.diff(np.append(first, len(at)))
+        pivot = np.repeat(w[first + size // 2], size)
+        part = np.repeat(3 * np.arange(len(first)), size) + (w >= pivot) + (w > pivot)
+        by = np.argsort(part, kind="stable")
+        order[at], part = order[at][by], part[by]
+        level[at] = level[at][by] + (part % 3 == 1)
+        _regroup(place, at, np.concatenate([[True], part[1:] != part[:-1]]))
+        at = _open(at, place)
+    return np.sort(np.concatenate(deep)) if deep else at
+
+
+def _blind_tries(words, starts, depths, order, place, at) -> None:
+    """Order each open group by a blind trie of its suffixes.
+
+    A trie keeps branching words only. Its spine is the group's first suffix; each
+    other suffix is compared with the spine once, which gives the node where it leaves
+    and the word that it leaves by. Suffixes that leave a node by one word are a
+    subtrie, whose spine is the first of them, and so on until every leaf holds equal
+    suffixes. In order, a spine's lesser branches come deepest last, then the spine
+    with what equals it, then the greater ones deepest first.
+    """
+    while len(at):
         p = place[at]
-        if not len(p):
-            return at
-        more = np.zeros(len(p), bool)
-        more[1:] = p[1:] == p[:-1]
-        more[:-1] |= more[1:]
-        return at[more]
-
-    def regroup(at, changed):
-        place[at] = at[np.maximum.accumulate(np.where(changed, np.arange(len(at)), 0))]
-
-    active, k = live(np.arange(len(order))), 0
-    while len(active) and depths[k] < shallow and k < len(depths) - 1:
-        w, p = words[starts[order[active]] + depths[k]].astype(np.uint64), place[active]
-        by = np.lexsort((w, p))
-        order[active], w = order[active][by], w[by]
-        regroup(active, np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1])]))
-        active, k = live(active), k + 1
-    while len(active):
-        p = place[active]
-        mine, first = starts[order[active]], starts[order[p]]
-        branch, char, side = np.full(len(active), len(depths)), np.zeros(len(active), np.uint64), np.zeros(len(active), np.int8)
-        open_ = np.arange(len(active))
-        for j in range(k, len(depths)):
-            a, b = words[mine[open_] + depths[j]], words[first[open_] + depths[j]]
+        mine, spine = starts[order[at]], starts[order[p]]
+        node, word, side = np.full(len(at), len(depths)), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int8)
+        along = np.arange(len(at))
+        for j, depth in enumerate(depths.tolist()):
+            a, b = words[mine[along] + depth], words[spine[along] + depth]
             off = np.flatnonzero(a != b)
             if len(off):
-                at = open_[off]
-                branch[at], char[at], side[at] = j, a[off].astype(np.uint64), np.where(a[off] < b[off], -1, 1)
-                open_ = np.delete(open_, off)
-            if not len(open_):
+                leaf = along[off]
+                node[leaf], word[leaf], side[leaf] = j, a[off].astype(np.uint64), np.where(a[off] < b[off], -1, 1)
+                along = np.delete(along, off)
+            if not len(along):
                 break
-        by = np.lexsort((char, np.where(side < 0, branch, -branch), side, p))
-        order[active] = order[active][by]
-        branch, char, side = branch[by], char[by], side[by]
-        regroup(active, np.concatenate([[True], (p[1:] != p[:-1]) | (side[1:] != side[:-1]) | (branch[1:] != branch[:-1]) | (char[1:] != char[:-1])]))
-        active = live(active[side != 0])
-    return order, place
+        by = np.lexsort((word, np.where(side < 0, node, -node), side, p))
+        order[at] = order[at][by]
+        node, word, side = node[by], word[by], side[by]
+        _regroup(place, at, np.concatenate([[True], (p[1:] != p[:-1]) | (side[1:] != side[:-1]) | (node[1:] != node[:-1]) | (word[1:] != word[:-1])]))
+        at = _open(at[side != 0], place)
 
 
 class _View:
@@ -95,10 +128,10 @@ class _View:
         self.key, self.start, self.count, self.data = empty.astype(np.uint64), empty, empty, data
         if n < length:
             return
-        h, base, size = data.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
+        h, base, size = data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, 1
         while size < GRAM:
-            h = h[: len(h) - size] * base + h[size:]
-            base, size = base * base, size * 2
+            h = h[: len(h) - size] * np.uint64(base) + h[size:]
+            base, size = base * base & 0xFFFFFFFFFFFFFFFF, size * 2
         h = mixed(h)
         least = sliding_least((h & ~LOW) | np.arange(len(h), dtype=np.uint64), wide) & LOW
         fits = np.zeros(n + 1, np.int32)
@@ -150,19 +183,25 @@ class Repeats:
         return key, begin, end - begin + 1
 
     def summed(self, piece, ids, n):
-        return np.minimum(np.bincount(piece, minlength=n), 2)
+        """How often each piece occurs in a block, 2 standing for more."""
+        weight = np.minimum(np.bincount(piece, minlength=n), 2).astype(np.int64)
+        return weight, weight
+
+    def judge(self, key, strings, count, weight, _):
+        """Verdicts read from the sorted order: a window is repeated if the suffixes that equal it weigh 2 or more.
 
-    def judge(self, key, strings, count, value):
+        Equal packed strings are sorted once, with their occurrences as weight.
+        """
         seen: dict[bytes, int] = {}
         which = np.fromiter((seen.setdefault(x, len(seen)) for x in strings), np.int64, len(strings))
-        total = np.bincount(which, value, len(seen))
+        total = np.bincount(which, weight, len(seen))
         first = np.zeros(len(seen), np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
         group = np.unique(key[first], return_inverse=True)[1]
-        several = np.flatnonzero(np.bincount(group)[group] > 1)
-        sizes = np.array([len(strings[i]) for i in first.tolist()], np.int64)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        buffer = np.frombuffer(b"".join(strings[i] for i in first.tolist()) + bytes(self.length + 8), np.uint8)
+        several = np.flatnonzero(np.bincount(group, total)[group] > 1)
+        distinct = list(seen)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in distinct], dtype=np.int64)])
+        buffer = np.frombuffer(b"".join(distinct) + bytes(self.length + 8), np.uint8)
         windows = count[first][several]
         owner = np.repeat(several, windows)
         starts = at[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -174,9 +213,7 @@ class Repeats:
         upto[several + 1] = windows
         upto = np.cumsum(upto)
         for i, w in enumerate(which.tolist()):
-            if total[w] > 1:
-                yield i, b""
-            elif (mine := again[upto[w] : upto[w + 1]]).any():
+            if (mine := again[upto[w] : upto[w + 1]]).any():
                 yield i, np.packbits(mine).tobytes()
 
     def nothing(self):
@@ -185,15 +222,13 @@ class Repeats:
     def _table(self, ids, size, removed, spans, sha, kept):
         return pa.table({"doc_id": pa.array([None if x == NO_ID else x for x in ids], pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary())})
 
-    def finish(self, view, ids, at, start, count, piece, value, told):
-        n = len(view.text)
+    def finish(self, ids, data, at, starts, count, verdict):
+        n = len(data)
         again = np.zeros(n + 1, bool)
-        for s, c, p in zip(start.tolist(), count.tolist(), piece.tolist(), strict=True):
-            verdict = told.get(p)
-            if value[p] > 1 or verdict == b"":
-                again[s : s + c] = True
-            elif verdict is not None:
-                again[s : s + c] |= np.unpackbits(np.frombuffer(verdict, np.uint8), count=c).astype(bool)
+        for places, c, bits in zip(starts, count, verdict, strict=True):
+            mine = np.unpackbits(np.frombuffer(bits, np.uint8), count=c).astype(bool)
+            for s in places.tolist():
+                again[s : s + c] |= mine
         sums = np.concatenate([[0], np.cumsum(again[:n], dtype=np.int64)])
         place = np.arange(n)
         gone = sums[place + 1] > sums[np.maximum(place + 1 - self.length, 0)]
@@ -201,7 +236,7 @@ class Repeats:
         opens[1:] &= ~gone[:-1]
         opens[at[:-1][at[:-1] < n]] = gone[at[:-1][at[:-1] < n]]
         lost, opened = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (gone, opens))
-        kept = view.data[~gone].tobytes()
+        kept = data[~gone].tobytes()
         upto = at - lost[at]
         parts = [kept[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
         return self._table(ids.tolist(), np.diff(at), np.diff(lost[at]), np.diff(opened[at]), [hashlib.sha256(x).hexdigest() for x in parts], parts)
