@@ -66,11 +66,34 @@ def worker_store() -> dict:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, with Arrow batches of the session held to BATCH bytes, so long texts don't add up to large ones."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    """``df``, with Arrow batches of the session held to BATCH bytes, so long texts don't add up to large ones.
+
+    The bound is only ever lowered. It has to stay, as Spark reads it when it plans the
+    job; it changes how rows are batched and no result.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH:
+        conf.set(name, str(BATCH))
     return df
 
 
+def places(df: DataFrame) -> list:
+    """The columns of ``df`` by place, c0 onwards, whatever their names; ``text`` as a string under its own name."""
+    return [F.col("`text`").cast("string").alias("text") if n == "text" else F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(df.columns)]
+
+
+def renamed(df: DataFrame, names: list[str]) -> list:
+    """The columns that ``places`` made, under their own ``names`` again."""
+    return [F.col("text") if n == "text" else F.col(f"c{k}").alias(n) for k, n in enumerate(names)]
+
+
+def filtered(docs: DataFrame, run) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``run`` lets through; it gets batches with a string column ``text``."""
+    kept = bounded(docs).select(*places(docs))
+    return kept.mapInArrow(run, kept.schema).select(*renamed(kept, docs.columns))
+
+
 def string_parts(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column end to end, and the offsets of its rows; null counts as empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -1,17 +1,19 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a slice of documents. Its words become symbols (words that no test phrase
-has are separators, and runs of symbols shorter than the shortest phrase are left
-out, as no phrase can lie there). Its suffix array gives the Burrows-Wheeler
-transform; a wavelet matrix over it answers ranks; phrases are found by backward
-search, all at once; positions are located by walking back to sampled suffixes; the
-hit words of a document are merged into removal spans.
+A shard is a slice of documents. All its words are indexed: each becomes a symbol, and
+a separator ends each document. A word is one of a test phrase if its bytes are; hashes
+only find the candidates, and number the words that no phrase has. The suffix array gives the Burrows-Wheeler transform; a
+wavelet matrix over it answers ranks; phrases are found by backward search, all at
+once; positions are located by walking back to sampled suffixes; the hit words of a
+document are merged into removal spans.
 
-Phrases come to the driver in blocks of bounded size, each broadcast on its own.
+Phrases come to the driver in blocks of bounded size, each broadcast on its own; a
+worker holds one block at a time, and reads a block again for each batch of shards.
 
 Defined cases: a null text has no words; an item without words has no window; a null
 item_id is listed as "null"; items that share a text or an id count once per id; a
-null doc_id stays null; other columns are ignored; empty tables give no hits.
+null doc_id stays null; other columns are ignored; empty tables give no hits; words and
+texts of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import bounded, by_bytes, string_parts
+from pixelmill.llm.common import bounded, by_bytes, filtered, string_parts
 from pixelmill.llm.substring_dedup import joined_words, word_hashes, words_of
 
-SHARD = 2 << 20
+SHARD, SLICE = 2 << 20, 1 << 20
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -124,15 +126,6 @@ class FMIndex:
         return found
 
 
-def _ends(text: np.ndarray, begin: np.ndarray):
-    """Lengths and first and last eight bytes of words that stand with a space after each."""
-    padded = np.concatenate([np.zeros(8, np.uint8), text, np.zeros(8, np.uint8)])
-    view = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
-    size = np.diff(begin) - 1
-    spare = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
-    return size, (view[begin[:-1] + 8].astype(np.uint64) << spare) >> spare, view[begin[1:] - 1].astype(np.uint64) >> spare
-
-
 class Phrases:
     """The distinct word windows of a block of items, ready for the workers."""
 
@@ -158,41 +151,51 @@ class Phrases:
         hashes = word_hashes(text, begin, word, inside)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.marks = [x[self.order] for x in _ends(text, begin)]
+        self.size = np.diff(begin)[self.order] - 1
+        self.begin, self.text = begin[:-1][self.order], text
 
     def symbols(self, hashes, text, begin) -> np.ndarray:
-        """The number of each word, 0 where no phrase has it."""
+        """The number of each word, 0 where no phrase has it; candidates by hash are compared byte by byte."""
         out = np.zeros(len(hashes), np.int64)
         if not len(self.hashes) or not len(hashes):
             return out
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        same = self.hashes[at] == hashes
-        for mine, theirs in zip(_ends(text, begin), self.marks, strict=True):
-            same &= mine == theirs[at]
-        out[same] = self.order[at[same]] + 1
+        at = np.searchsorted(self.hashes, hashes)
+        size, open_ = np.diff(begin) - 1, np.flatnonzero(at < len(self.hashes))
+        while len(open_):  # phrase words that share a hash are tried one after another
+            open_ = open_[self.hashes[at[open_]] == hashes[open_]]
+            alike = open_[self.size[at[open_]] == size[open_]]
+            same = alike[_equal(text, begin[alike], self.text, self.begin[at[alike]], size[alike])]
+            out[same] = self.order[at[same]] + 1
+            open_ = open_[out[open_] == 0]
+            at[open_] += 1
+            open_ = open_[at[open_] < len(self.hashes)]
         return out
 
 
-def hits(phrases: Phrases, symbols: np.ndarray, before: np.ndarray):
+def _equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the words of ``a`` and ``b`` at these places, of these sizes, have the same bytes."""
+    same, grown, begin = np.ones(len(size), bool), np.cumsum(size), 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(grown, (grown[begin - 1] if begin else 0) + SLICE, side="right")))
+        part = size[begin:end]
+        word = np.repeat(np.arange(begin, end), part)
+        inside = np.arange(len(word)) - np.repeat(np.cumsum(part) - part, part)
+        same[word[a[at_a[word] + inside] != b[at_b[word] + inside]]] = False
+        begin = end
+    return same
+
+
+def hits(phrases: Phrases, symbols: np.ndarray, hashes: np.ndarray, before: np.ndarray):
     """Words hit by any phrase, and which phrase occurs in which document (as pairs)."""
     none = np.zeros(0, np.int64)
     hit = np.zeros(len(symbols) + 1, np.int32)
-    if not len(phrases.sizes) or not len(symbols):
+    if not len(phrases.sizes) or not symbols.any():
         return hit[:-1] > 0, none, none
-    known = np.flatnonzero(symbols)
-    doc = np.searchsorted(before, known, side="right") - 1
-    opens = np.concatenate([[True], (known[1:] != known[:-1] + 1) | (doc[1:] != doc[:-1])]) if len(known) else np.zeros(0, bool)
-    run = np.cumsum(opens) - 1
-    long = np.bincount(run, minlength=1)[run] >= phrases.sizes.min() if len(run) else opens
-    known, opens = known[long], opens[long]
-    if not len(known):
-        return hit[:-1] > 0, none, none
-    at = np.arange(len(known)) + np.cumsum(opens)
-    text = np.zeros(len(known) + int(opens.sum()) + 1, np.int64)
-    word = np.full(len(text), -1, np.int64)
-    text[at], word[at] = symbols[known], known
-    index = FMIndex(text)
-    low, high = index.search(phrases.phrases, phrases.sizes)
+    symbols, top, other = symbols.copy(), int(symbols.max()), np.flatnonzero(symbols == 0)
+    symbols[other] = top + 1 + np.unique(hashes[other], return_inverse=True)[1]
+    word = np.insert(np.arange(len(symbols)), before[1:], -1)
+    index = FMIndex(np.where(word < 0, 0, symbols[word]))
+    low, high = index.search(np.where(phrases.phrases <= top, phrases.phrases, len(index.less)), phrases.sizes)
     found = np.flatnonzero(high > low)
     many = high[found] - low[found]
     which = np.repeat(found, many)
@@ -218,6 +221,12 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
     return [context.broadcast(Phrases([(r.item, r.phrase) for r in items.where(number == b).toLocalIterator()], window)) for b in range(blocks)]
 
 
+def released(block) -> None:
+    """Let a worker's copy of a broadcast go, where it can be read again from its file."""
+    if getattr(block, "_path", None) is not None:
+        block.__dict__.pop("_value", None)
+
+
 def judge(batch, shared: list):
     """Word bounds of a shard's texts, which of the words are hit, and the items of each document."""
     raw, at = string_parts(batch.column("text"))
@@ -227,10 +236,13 @@ def judge(batch, shared: list):
     hashes = word_hashes(text, begin, word, inside)
     hit, items = np.zeros(len(first), bool), [set() for _ in range(batch.num_rows)]
     for block in shared:
-        more, where, which = hits(block.value, block.value.symbols(hashes, text, begin), before)
+        phrases = block.value
+        more, where, which = hits(phrases, phrases.symbols(hashes, text, begin), hashes, before)
         hit |= more
         for d, p in zip(where.tolist(), which.tolist(), strict=True):
-            items[d].update(block.value.owners[p])
+            items[d].update(phrases.owners[p])
+        if len(shared) > 1:
+            released(block)
     return at, first, last, before, hit, items
 
 
@@ -243,15 +255,14 @@ def verdicts(before: np.ndarray, hit: np.ndarray, share: float):
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, that aren't contaminated; each row is judged by its own text, without a shuffle."""
-    names, shared = docs.columns, phrase_blocks(benchmark, window, block_bytes)
+    shared = phrase_blocks(benchmark, window, block_bytes)
 
     def run(batches):
         for batch in by_bytes(batches, "text", SHARD):
             _, _, _, before, hit, _ = judge(batch, shared)
             yield batch.filter(pa.array(~verdicts(before, hit, share)[2]))
 
-    docs = bounded(docs).withColumn("text", F.col("text").cast("string")).select(*names)
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, block_bytes: int = 8 << 20) -> DataFrame:

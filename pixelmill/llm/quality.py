@@ -1,19 +1,22 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-Document scores are linear in surface features of the whole text. They are learnt
-from preference pairs (a document labelled 1 over one labelled 0): the probability
-that the first wins is the logistic of the difference of scores, so the weights
-minimise the logistic loss on feature differences. The threshold is a quantile of the
-scores of the labelled rows, the one that separates them best; a score is the
+Document scores are linear in features of the whole text: what its words are (single
+words and pairs, hashed into BUCKETS shares) and how it looks (surface measures). They
+are learnt from preference pairs (a document labelled 1 over one labelled 0): the
+probability that the first wins is the logistic of the difference of scores, so the
+weights minimise the logistic loss on feature differences. The threshold is a quantile
+of the scores of the labelled rows, the one that separates them best; a score is the
 logistic of a document's distance from it.
 
-The fit uses at most ``sample`` labelled rows of each class, the first by a hash of
-doc_id; that bound is what reaches the driver.
+The fit uses at most ``sample`` labelled documents of each class, the first by a hash
+of doc_id; that bound is what reaches the driver.
 
 Defined cases: null and empty texts have all features zero and get a score like any
 other; a null doc_id is never a labelled row and isn't held out; labels other than 0
-and 1 are ignored; without rows of both labels every score is 0.5; repeated rows get
-equal scores; other columns are ignored; an empty table gives an empty result.
+and 1 are ignored, and so is a doc_id that is labelled both; of rows that share a
+labelled doc_id one is learnt from (the least by its features); without rows of both
+labels every score is 0.5; repeated rows get equal scores; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import bounded, by_bytes
+from pixelmill.llm.common import bounded, by_bytes, filtered, mixed, string_parts
+from pixelmill.llm.substring_dedup import joined_words, word_hashes, words_of
 
 SLICE = 4 << 20
+ROWS = 2048  # texts whose features are held at a time
+BUCKETS = 512  # hashed shares of words and word pairs
+LEXICAL = 0.1  # weight of a share beside a surface measure, each scaled to its own spread
 RUN = re.compile(r"([!#$%&*|.?=~_^-])\1+")
 NAMES = ("length", "word", "long_words", "upper", "title", "punctuation", "symbols", "digits", "bars", "exclaims", "runs", "distinct", "most_common", "repeats", "line", "line_repeats", "unclosed", "sentence", "letters", "white")
 
 
-def features(text: str) -> list[float]:
+def surface(text: str) -> list[float]:
     """Surface features of a whole text, most of them shares between 0 and 1."""
     words = text.split()
     if not words:
@@ -72,17 +79,79 @@ def features(text: str) -> list[float]:
     ]
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3, rounds: int = 60):
-    """Weights of the Bradley-Terry model by Newton's method; each row meets several of the other label."""
-    rng = np.random.default_rng(0)
-    n = 8 * max(len(good), len(bad))
-    d = good[rng.permutation(np.resize(np.arange(len(good)), n))] - bad[np.resize(np.arange(len(bad)), n)]
-    w = np.zeros(d.shape[1])
+def lexical(column) -> np.ndarray:
+    """Root shares of hashed words and word pairs of each text (A-Z lower-cased), BUCKETS of them."""
+    raw, at = string_parts(column)
+    data = np.where((raw >= 0x41) & (raw <= 0x5A), raw + 32, raw).astype(np.uint8)
+    first, last, before = words_of(data, at)
+    h = word_hashes(*joined_words(data, first, last))
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(before))
+    pair = doc[1:] == doc[:-1]
+    two = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[pair] if len(h) else h
+    place = np.concatenate([doc, doc[1:][pair]]) * BUCKETS + (np.concatenate([h, two]) % np.uint64(BUCKETS)).astype(np.int64)
+    found = np.bincount(place, minlength=(len(at) - 1) * BUCKETS).reshape(-1, BUCKETS)
+    return np.sqrt(found / np.maximum(found.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+
+
+def features(column) -> np.ndarray:
+    """Features of each text of a string column: surface measures, then hashed shares."""
+    looks = np.array([surface(t or "") for t in column.to_pylist()], np.float32).reshape(-1, len(NAMES))
+    return np.concatenate([looks, lexical(column)], axis=1)
+
+
+def scaled(x: np.ndarray, model: dict) -> np.ndarray:
+    z = np.clip((x - model["centre"]) / model["spread"], -8, 8)
+    z[:, len(NAMES) :] *= LEXICAL
+    return z
+
+
+def scored(batch, model: dict) -> np.ndarray:
+    """Distance of each text's score from the threshold."""
+    column = batch.column("text")
+    parts = [scaled(features(column.slice(i, ROWS)), model) @ model["weights"] for i in range(0, len(column), ROWS)]
+    return np.concatenate(parts).astype(float) - model["threshold"]
+
+
+def pairs(good: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Preference pairs by number: each row of the larger class meets eight of the other."""
+    n = 8 * max(good, bad)
+    return np.resize(np.arange(good), n)[np.random.default_rng(0).permutation(n)], np.resize(np.arange(bad), n)
+
+
+def fit_pairs(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3, rounds: int = 30):
+    """Weights of the Bradley-Terry model, by Newton's method with conjugate gradients.
+
+    The loss is the mean over pairs of log(1 + exp(-difference of scores)), plus half
+    the ridge times the square of the weights. No matrix of pairs is made.
+    """
+    i, j = pairs(len(good), len(bad))
+    n = len(i)
+
+    def back(t):  # what the pairs' terms add up to for each weight
+        return np.bincount(i, t, len(good)) @ good - np.bincount(j, t, len(bad)) @ bad
+
+    def loss(w):
+        return np.logaddexp(0, -((good @ w)[i] - (bad @ w)[j])).mean() + ridge / 2 * (w @ w)
+
+    w = np.zeros(good.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(len(w)), d.T @ p / n - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-7:
+        p = 1 / (1 + np.exp(np.clip((good @ w)[i] - (bad @ w)[j], -40, 40)))
+        slope = back(p) / n - ridge * w
+        curve = p * (1 - p)
+        step, r = np.zeros_like(w), slope.copy()
+        way, size = r.copy(), r @ r
+        for _ in range(100):
+            if size < 1e-12 * max(slope @ slope, 1e-18):
+                break
+            turned = back(curve * ((good @ way)[i] - (bad @ way)[j])) / n + ridge * way
+            a = size / (way @ turned)
+            step, r = step + a * way, r - a * turned
+            way, size = r + (r @ r) / size * way, r @ r
+        share, now = 1.0, loss(w)
+        while share > 1e-4 and loss(w + share * step) > now:
+            share /= 2
+        w = w + share * step
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
@@ -91,29 +160,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> dict:
     """Scale, weights and threshold from labelled rows outside the held-out third."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     named = named.where("doc_id is not null and quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    named = named.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").select("doc_id", "quality")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [r for q in (0, 1) for r in named.where(F.col("quality") == q).orderBy(*order).limit(sample).collect()]
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in chosen], "doc_id long, quality int")
-    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted.dropDuplicates(["doc_id"])), "doc_id")
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
 
     def run(batches):
         for batch in by_bytes(batches, "text", SLICE):
-            found = [features(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
-
-    rows = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "x").limit(4 * sample).collect()
-    x, y = np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.quality for r in rows])
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                found = [x.tobytes() for x in features(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(found, pa.binary())], names=["doc_id", "quality", "x"])
+
+    rows = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").collect()
+    wide = len(NAMES) + BUCKETS
+    x, y = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, wide), np.array([r.quality for r in rows])
     if not len(y) or y.min() == y.max():
-        return {"centre": np.zeros(len(NAMES)), "spread": np.ones(len(NAMES)), "weights": np.zeros(len(NAMES)), "threshold": 0.0}
-    centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.clip((x - centre) / spread, -8, 8)
-    w = fit_pairs(z[y == 1], z[y == 0])
+        return {"centre": np.zeros(wide, np.float32), "spread": np.ones(wide, np.float32), "weights": np.zeros(wide, np.float32), "threshold": 0.0}
+    model = {"centre": x.mean(axis=0), "spread": x.std(axis=0) + np.float32(1e-6)}
+    z = scaled(x, model)
+    w = fit_pairs(z[y == 1], z[y == 0]).astype(np.float32)
     score = z @ w
     order = np.argsort(score, kind="stable")
     right = np.cumsum(y[order] == 0) / (y == 0).sum() - np.cumsum(y[order] == 1) / (y == 1).sum()
     share = (int(np.argmax(right)) + 1) / len(score)  # the quantile below which rows are rejected
     below, above = np.quantile(score, share, method="lower"), np.quantile(score, share, method="higher")
-    return {"centre": centre, "spread": spread, "weights": w, "threshold": (below + above) / 2}
+    return model | {"weights": w, "threshold": float(below + above) / 2}
 
 
 def score_with(docs: DataFrame, model: dict) -> DataFrame:
@@ -121,8 +194,7 @@ def score_with(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         for batch in by_bytes(batches, "text", SLICE):
-            x = np.array([features(t or "") for t in batch.column("text").to_pylist()])
-            s = np.clip((x - model["centre"]) / model["spread"], -8, 8) @ model["weights"] - model["threshold"]
+            s = scored(batch, model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(s, -500, 500))))], names=["doc_id", "score"])
 
     found = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -136,15 +208,12 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model accepts."""
-    names = docs.columns
 
     def run(batches):
         for batch in by_bytes(batches, "text", SLICE):
-            x = np.array([features(t or "") for t in batch.column("text").to_pylist()])
-            s = np.clip((x - model["centre"]) / model["spread"], -8, 8) @ model["weights"] - model["threshold"]
-            yield batch.filter(pa.array(s >= 0))
+            yield batch.filter(pa.array(scored(batch, model) >= 0))
 
-    return bounded(docs).withColumn("text", F.col("text").cast("string")).select(*names).mapInArrow(run, docs.select(*names).schema)
+    return filtered(docs, run)
 
 
 def op8(spark, sf_dir) -> DataFrame:
