@@ -4,10 +4,13 @@ A fingerprint's 64 bits are a ring of 8 segments. If two fingerprints differ in
 most 2 bits, some chain of consecutive segments keeps, at each of its lengths l, at
 most l * 2/8 differences: its first three segments agree, and at most one bit differs
 in the first seven. So the next two or the two after agree as well, and distinct
-fingerprints meet in buckets of 40 agreeing bits, 16 per fingerprint. Inside a bucket
-the chain is checked at every length, then the whole distance. Large buckets look up
-the neighbours of each fingerprint instead of comparing all pairs, and a bucket sends
-a spanning star of each group, never its pairs.
+fingerprints meet in buckets of 40 agreeing bits, 16 per fingerprint, each bucket for
+the chains that start at one segment. Inside a bucket candidates are pruned by the
+budgets of the chain's lengths, one after another, and only those that keep all of
+them get the full Hamming check; what a bucket prunes meets again where its own chain
+starts. Small buckets compare all pairs; larger ones look up the neighbours of each
+fingerprint, by the differences that keep the chain. A bucket sends a spanning star of
+each group, never its pairs.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any
 other; a null doc_id sorts last and stays null in the result; rows that share a
@@ -63,29 +66,45 @@ def fingerprints(docs: DataFrame, size: int = 3, sha=None) -> DataFrame:
     return with_id(bounded(docs)).select("_id", F.col("text").cast("string").alias("text"), *kept).mapInArrow(run, "_id long, fp long" + "".join(f", {n} string" for n in more))
 
 
-def _linked(fp: np.ndarray) -> np.ndarray:
-    """Group number of each fingerprint of a bucket (the place of its group's first)."""
-    n, group = len(fp), np.arange(len(fp))
+def chained(apart: np.ndarray, start: int, most: int = MOST) -> np.ndarray:
+    """Which differences (as places in ``apart``) keep the budgets of the chain from segment ``start`` at lengths 1 to 7."""
+    turn = start * BITS
+    turned = apart if not turn else (apart << np.uint64(turn)) | (apart >> np.uint64(64 - turn))
+    kept = np.arange(len(apart))
+    for length in range(1, SEGMENTS):
+        part = turned[kept] >> np.uint64(64 - length * BITS)
+        kept = kept[np.bitwise_count(part).astype(np.int64) * SEGMENTS <= most * length]
+    return kept
+
+
+def candidates(fp: np.ndarray, start: int):
+    """Pairs of places (i, j) of a bucket whose difference keeps the chain from segment ``start``."""
+    n = len(fp)
     if n <= DENSE:
         i, j = np.triu_indices(n, 1)
-        apart = fp[i] ^ fp[j]
-        near = np.flatnonzero(np.bitwise_count(apart) <= MOST)
-        near = near[_chained(apart[near])]
-        i, j = i[near], j[near]
-    else:
-        order = np.argsort(fp)
-        ranked = fp[order]
-        free = np.bitwise_or.reduce(ranked ^ ranked[0])
-        bits = [np.uint64(1 << b) for b in range(64) if int(free) >> b & 1]
-        masks = [*bits, *(a | b for k, a in enumerate(bits) for b in bits[:k])]
-        left, right = [], []
-        for mask in masks:
-            other = ranked ^ mask
-            at = np.minimum(np.searchsorted(ranked, other), n - 1)
-            ok = np.flatnonzero((ranked[at] == other) & (other > ranked))
-            left.append(order[ok])
-            right.append(order[at[ok]])
-        i, j = np.concatenate(left), np.concatenate(right)
+        kept = chained(fp[i] ^ fp[j], start)
+        return i[kept], j[kept]
+    order = np.argsort(fp)
+    ranked = fp[order]
+    free = int(np.bitwise_or.reduce(ranked ^ ranked[0]))
+    bits = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
+    masks = np.array([*bits, *(a | b for k, a in enumerate(bits) for b in bits[:k])], np.uint64)
+    left, right = [], []
+    for mask in masks[chained(masks, start)]:
+        other = ranked ^ mask
+        at = np.minimum(np.searchsorted(ranked, other), n - 1)
+        ok = np.flatnonzero((ranked[at] == other) & (other > ranked))
+        left.append(order[ok])
+        right.append(order[at[ok]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _linked(fp: np.ndarray, start: int) -> np.ndarray:
+    """Group number of each fingerprint of a bucket (the place of its group's first)."""
+    group = np.arange(len(fp))
+    i, j = candidates(fp, start)
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= MOST
+    i, j = i[near], j[near]
     while len(i):
         low = np.minimum(group[i], group[j])
         new = group.copy()
@@ -98,16 +117,6 @@ def _linked(fp: np.ndarray) -> np.ndarray:
     return group
 
 
-def _chained(apart: np.ndarray) -> np.ndarray:
-    """Whether some chain of segments stays within its share of the budget at every length."""
-    counts = np.bitwise_count(apart.astype("<u8").view(np.uint8).reshape(-1, SEGMENTS)).astype(np.int64)
-    ok = np.zeros(len(apart), bool)
-    for start in range(SEGMENTS):
-        sums = np.cumsum(np.roll(counts, -start, axis=1), axis=1)
-        ok |= (sums * SEGMENTS <= MOST * np.arange(1, SEGMENTS + 1)).all(axis=1)
-    return ok
-
-
 def links(distinct: DataFrame) -> DataFrame:
     """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep)."""
     keys = []
@@ -120,8 +129,8 @@ def links(distinct: DataFrame) -> DataFrame:
     dealt = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep").repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def bucket(fp, rep):
-        group = _linked(fp)
+    def bucket(start, fp, rep):
+        group = _linked(fp, start)
         least = np.full(len(fp), NO_ID, np.int64)
         np.minimum.at(least, group, rep)
         other = least[group] != rep
@@ -146,14 +155,17 @@ def links(distinct: DataFrame) -> DataFrame:
         ends = np.append(heads[1:], len(key))
         several = np.flatnonzero(ends - heads > 1)
         pairs = several[ends[several] - heads[several] == 2]
-        at = heads[pairs]
+        at, starts = heads[pairs], key[heads] >> 41
         apart = fp[at].view(np.uint64) ^ fp[at + 1].view(np.uint64)
-        near = np.bitwise_count(apart) <= MOST
-        near[near] = _chained(apart[near])
-        found = [(rep[at[near]], rep[at[near] + 1])]
+        found = [(rep[:0], rep[:0])]
+        for start in range(SEGMENTS):
+            mine = np.flatnonzero(starts[pairs] == start)
+            mine = mine[chained(apart[mine], start)]
+            mine = at[mine[np.bitwise_count(apart[mine]) <= MOST]]
+            found.append((rep[mine], rep[mine + 1]))
         for g in several[ends[several] - heads[several] > 2].tolist():
             part = slice(heads[g], ends[g])
-            found.append(bucket(fp[part].view(np.uint64), rep[part]))
+            found.append(bucket(int(starts[g]), fp[part].view(np.uint64), rep[part]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
