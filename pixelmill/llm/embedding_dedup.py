@@ -1,21 +1,28 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors of a label are compared exhaustively: equal vectors are joined first, the
-distinct ones are dealt evenly into groups, and every pair of groups of a label is one
-task. There, unit vectors are turned onto the principal axes (a rotation, so products
-stay), sorted by the first and cut into tiles. A pair of tiles adds up leading
-dimensions block by block; the product of the suffix norms bounds what the rest can
-add, and the tile or pair is left as soon as it can't reach the threshold. Survivors
-are judged by the cosine of the original vectors in double precision.
-
-The axes only decide how early a comparison stops, so they come from a bounded sample
-(``sample`` vectors at most); a dimension count that it lacks is compared unturned.
-A task sends each vector's number of links and a spanning star, never its pairs.
+Equal vectors of a label are joined first. Unit vectors are turned onto the principal
+axes (a rotation, so products stay); the leading ones cut space into cells, the more
+the more vectors a label has, and the box around each cell's vectors is known exactly.
+Two cells whose boxes lie so far apart that no cosine can reach the threshold are never
+brought together; every other pair of cells is compared, a pair of groups of evenly
+dealt vectors at a time. There, vectors are sorted by the first axis and cut into
+tiles. A pair of tiles adds up leading dimensions block by block; the product of the
+suffix norms bounds what the rest can add, and the tile or pair is left as soon as it
+can't reach the threshold. Survivors are judged by the cosine of the original vectors
+in double precision.
+
+Axes and cells only decide how early a comparison stops, so they come from a bounded
+sample (``sample`` vectors at most); a dimension count that it lacks has one cell and
+is compared unturned. Where a label's vectors have no leading directions, boxes overlap
+and the work grows with the square of the label. A task sends each vector's number of
+links and a spanning star, never its pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without label, link with nothing; vectors of different lengths
 don't link; a null vec_id sorts last and stays null; equal vectors link; repeated
-rows count as different vectors; vectors that share a vec_id or have none are told apart; an empty table gives an empty result.
+rows count as different vectors; vectors that share a vec_id or have none are told
+apart; components of any finite size are fine, as vectors are scaled by a power of two
+before they are multiplied; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,25 +34,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import NO_ID, cut, with_id
+from pixelmill.llm.common import NO_ID, bounded, cut, with_id
 from pixelmill.llm.components import components
 
 TILE = 256
 STEPS = (8, 16, 32)  # leading dimensions after which a bound is taken
 SLACK = 1e-9
+LEAD, DEPTH = 8, 10  # leading axes that cells are cut along, and how often space is halved at most
+
+
+def balanced(rows: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component lies between 1/2 and 1."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1))
+    return np.ldexp(rows, -exponent[:, None])
 
 
 def principal_axes(rows: np.ndarray) -> np.ndarray:
     """Orthogonal axes of unit vectors, by falling variance."""
+    rows = balanced(rows)
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     _, axes = np.linalg.eigh(unit.T @ unit)
     return axes[:, ::-1]
 
 
+class Cells:
+    """Halvings of space along the leading axes: cell numbers of DEPTH bits, of which the first k name the cells of k halvings."""
+
+    def __init__(self, rows: np.ndarray):
+        self.axes = principal_axes(rows)[:, :LEAD]
+        turned = self.turned(rows)
+        self.axis, self.cut = np.zeros(1 << DEPTH, np.int64), np.zeros(1 << DEPTH)
+        inside = np.ones(len(rows), np.int64)  # number of each row's node, 1 at the root
+        for node in range(1, 1 << DEPTH):
+            mine = turned[inside == node]
+            if len(mine) > 1:
+                self.axis[node] = np.argmax(mine.std(axis=0))
+                self.cut[node] = np.median(mine[:, self.axis[node]])
+            on = np.flatnonzero(inside == node)
+            inside[on] = 2 * node + (turned[on, self.axis[node]] > self.cut[node])
+
+    def turned(self, rows: np.ndarray) -> np.ndarray:
+        rows = balanced(rows)
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True) @ self.axes
+
+    def of(self, turned: np.ndarray) -> np.ndarray:
+        node, row = np.ones(len(turned), np.int64), np.arange(len(turned))
+        for _ in range(DEPTH):
+            node = 2 * node + (turned[row, self.axis[node]] > self.cut[node])
+        return node - (1 << DEPTH)
+
+
 class Tiles:
     """Vectors of one side, turned, sorted by their first axis and cut into tiles."""
 
     def __init__(self, rows: np.ndarray, axes: np.ndarray | None):
+        rows = balanced(rows)
         self.rows, self.norm = rows, np.linalg.norm(rows, axis=1)
         unit = rows / self.norm[:, None]
         turned = unit if axes is None else unit @ axes
@@ -136,27 +179,78 @@ def _with_node(distinct: DataFrame) -> DataFrame:
             return named
 
 
+def placed(distinct: DataFrame, cells: dict) -> DataFrame:
+    """(label, d, node, n, v, path, t) of ``distinct`` (label, node, n, v): its number of dimensions, cell and leading coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column("d").to_numpy()
+            path, t = np.zeros(len(size), np.int64), np.zeros((len(size), LEAD))
+            for d in np.unique(size).tolist():
+                if d in cells:
+                    on = np.flatnonzero(size == d)
+                    turned = cells[d].turned(np.array(batch.column("v").take(pa.array(on)).flatten()).reshape(-1, d))
+                    path[on] = cells[d].of(turned)
+                    t[on, : turned.shape[1]] = turned
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(path), pa.array(list(t), pa.list_(pa.float64()))], names=[*batch.schema.names, "path", "t"])
+
+    sized = bounded(distinct).select("label", F.size("v").alias("d"), "node", "n", "v")
+    return sized.mapInArrow(run, f"label {distinct.schema['label'].dataType.simpleString()}, d int, node long, n long, v array<double>, path long, t array<double>")
+
+
+def boxes(points: DataFrame, group: int) -> DataFrame:
+    """(label, d, cell, depth, groups, low, high): the cells of each label, about ``group`` vectors each, and their boxes."""
+    keys = ["label", "d"]
+    depth = F.least(F.lit(DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / group)))).cast("int")
+    sized = points.join(points.groupBy(*keys).agg(depth.alias("depth")), keys)
+    cell = F.expr(f"shiftright(path, {DEPTH} - depth)")
+    ends = [f(F.col("t")[k]).alias(f"{n}{k}") for n, f in (("low", F.min), ("high", F.max)) for k in range(LEAD)]
+    found = sized.groupBy(*keys, cell.alias("cell"), "depth").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"), *ends)
+    return found.select(*keys, "cell", "depth", "groups", *[F.array(*[f"{n}{k}" for k in range(LEAD)]).alias(n) for n in ("low", "high")])
+
+
+def near_cells(found: DataFrame, threshold: float) -> DataFrame:
+    """(label, d, cell, depth, groups, other, others): each cell with those whose boxes are near enough, itself included.
+
+    ``others`` is the number of groups of the other cell. A label has 2**DEPTH cells at most.
+    """
+    keys = ["label", "d"]
+    other = found.select(*keys, F.col("cell").alias("other"), F.col("groups").alias("others"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    gap = F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("_low", "_high"), lambda a, b: F.greatest(F.lit(0.0), a["low"] - b["_high"], b["_low"] - a["high"]))
+    apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
+    return found.join(other, keys).where(apart <= 2 - 2 * threshold + SLACK).select(*keys, "cell", "depth", "groups", "other", "others")
+
+
+def pairs_of_groups(points: DataFrame, threshold: float, group: int) -> DataFrame:
+    """(label, d, a, b, second, node, n, v): every vector for each pair of groups (a, b) that its group is one of."""
+    keys = ["label", "d"]
+    near = near_cells(boxes(points, group), threshold)
+    partners = near.groupBy(*keys, "cell", "depth", "groups").agg(F.collect_list(F.struct("other", "others")).alias("partners"))  # 2**DEPTH at most
+    depths = near.select(*keys, "depth").distinct()
+    dealt = points.drop("t").join(depths, keys).withColumn("cell", F.expr(f"shiftright(path, {DEPTH} - depth)")).drop("path", "depth").join(partners.drop("depth"), [*keys, "cell"])
+    mine = F.struct("cell", F.pmod("node", F.col("groups")).cast("int").alias("g"))
+    others = F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["others"] - 1), lambda o: F.struct(p["other"].alias("cell"), o.alias("g")))))
+    sides = dealt.select(*keys, "node", "n", "v", mine.alias("mine"), F.explode(others).alias("o"))
+    return sides.select(*keys, F.least("mine", "o").alias("a"), F.greatest("mine", "o").alias("b"), (F.col("mine") > F.col("o")).alias("second"), "node", "n", "v")
+
+
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, group: int = 2048, sample: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label)."""
     values = F.col("embedding").cast("array<double>")
     rows = with_id(vectors, "vec_id").select("_id", F.col("label").alias("label"), F.transform(values, lambda x: x + F.lit(0.0)).alias("v"))
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    ok = F.coalesce(ok & (square > 0) & (square < float("inf")), F.lit(False))
+    ok = F.coalesce(ok & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.select("_id", "label", "v", ok.alias("ok"))
     distinct = cut(rows.where("ok").groupBy("label", "v").agg(F.min("_id").alias("rep"), F.count("*").alias("n")))
     distinct = _with_node(distinct)
-    axes = {}
+    cells = {}
     for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect():
-        axes.setdefault(len(r.v), []).append(r.v)
-    axes = {d: principal_axes(np.array(x)) for d, x in axes.items()}
-
-    keys = ["label", "d"]
-    sized = distinct.select("*", F.size("v").alias("d"))
-    groups = sized.groupBy(*keys).agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
-    dealt = sized.join(groups, keys).withColumn("g", F.pmod("node", F.col("groups")).cast("int"))
-    sides = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    sides = sides.select(*keys, F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), (F.col("g") > F.col("o")).alias("second"), "node", "n", "v")
+        cells.setdefault(len(r.v), []).append(r.v)
+    axes = {d: principal_axes(np.array(x)) for d, x in cells.items()}
+    cells = {d: Cells(np.array(x)) for d, x in cells.items()}
+    sides = pairs_of_groups(placed(distinct, cells), threshold, group)
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def task(part: pa.Table) -> pa.Table:
@@ -164,12 +258,12 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, group: int = 20
         order = np.lexsort((part.column("node").to_numpy(), second))
         ids, weight = part.column("node").to_numpy()[order], part.column("n").to_numpy()[order]
         matrix = np.stack(part.column("v").to_pandas().to_numpy())[order]
-        within = part.column("a")[0] == part.column("b")[0]
+        within = part.column("a")[0].as_py() == part.column("b")[0].as_py()
         links, root = compared(matrix, ids, weight, len(ids) if within else int((~second).sum()), within, axes.get(matrix.shape[1]), threshold)
         on = links > 0
         return pa.Table.from_arrays([pa.array(x[on]) for x in (ids, links, root)], schema=schema)
 
-    found = cut(sides.groupBy(*keys, "a", "b").applyInArrow(task, "node long, links long, root long"))
+    found = cut(sides.groupBy("label", "d", "a", "b").applyInArrow(task, "node long, links long, root long"))
     named = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = distinct.join(counts, "node", "left").join(named, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")

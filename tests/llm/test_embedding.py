@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from pixelmill.llm.embedding_dedup import compared, embedding_dedup, principal_axes
+from pixelmill.llm.embedding_dedup import Cells, boxes, compared, embedding_dedup, near_cells, pairs_of_groups, placed, principal_axes
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string, v int"
 
@@ -79,3 +79,21 @@ def test_vectors_of_one_id_are_told_apart(spark):
     got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     seen = sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr)
     assert seen == sorted([(None, 1, 7), (None, 0, None), (None, 1, 9), (7, 1, 7), (9, 1, 9), (9, 1, 4), (4, 1, 4)], key=repr)
+
+
+def test_far_cells_are_never_paired(spark):
+    rng = np.random.default_rng(4)
+    centres = np.eye(6)
+    rows = [(i, (centres[i % 6] + rng.normal(size=6) * 0.05).tolist(), 1) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup(table, group=32).collect()} == brute(rows)
+    points = placed(table.selectExpr("label", "vec_id node", "1L n", "transform(embedding, x -> double(x)) v"), {6: Cells(np.array([r[1] for r in rows]))})
+    cells = boxes(points, 32).count()
+    assert cells > 12 and near_cells(boxes(points, 32), 0.93).count() < cells * cells / 3
+    assert pairs_of_groups(points, 0.93, 32).count() < 600 * cells / 3
+
+
+def test_components_of_any_size(spark):
+    rows = [(i, [a * s, b * s], 1) for i, (a, b, s) in enumerate([(1.0, 0.1, 1e300), (1.0, 0.1, 1e-300), (1.0, 0.12, 1.0), (0.0, 1.0, 1e308)])]
+    got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
