@@ -59,10 +59,31 @@ def test_mined_rules_match_brute_force(spark):
             if on and hit / len(tokens) >= 0.03 and hit / len(on) >= 0.8:
                 sure[combo] = hit / len(on)
     assert sure
-    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, named, support=0.03).collect()}
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, named, support=0.03, fewest=9).collect()}
     assert got == {i: "block" if any(t.issuperset(c) for c in sure) else "allow" for i, t in tokens.items()}
 
 
+def test_labels_that_say_nothing_mine_nothing(spark):
+    rng = random.Random(7)
+    rows = [(i, f"http://h{rng.randint(0, 9)}.net/{rng.choice('abcd')}/{rng.choice('wxyz')}") for i in range(400)]
+    labels = [(i, int(rng.random() < 0.7), 0) for i in range(400)]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r.verdict for r in got.collect()} == {"allow"}
+    for sf in ("0.01", "0.1"):
+        pages, named = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("pages", "labels"))
+        assert url_filter.url_filter(pages, named).where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_long_urls_hot_urls_and_conflicting_labels(spark):
+    long = "http://casino.net/" + "a/" * 40_000 + "?" + "&".join(f"k{i}=1" for i in range(2000))
+    rows = [(i, "http://casino.net/win") for i in range(60)] + [(100 + i, f"http://news{i}.org.uk/x") for i in range(60)] + [(500, long), (None, "http://casino.net/win"), (501, None), (501, None)]
+    labels = [(i, 1, 0) for i in range(160)] + [(i, 0, 0) for i in range(60)]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows)
+    assert all(r.verdict == ("block" if "casino.net" in r.host else "allow") for r in got)
+    assert [len(r.path) for r in got if r.page_id == 500] == [80_001]
+
+
 TEXTS = [
     "mail bosbt.42@mail8.example.com or BOSBT.42@MAIL8.EXAMPLE.COM now",
     "ip 42.144.35.254. card 4041894974608795, 4041-8949-7460-8795",
