@@ -30,6 +30,7 @@ from pixelmill.llm.common import bounded, by_bytes, worker_store
 # The public pre-tokenizer pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 500_000  # words, some 300 bytes each with their ids; the cache is emptied beyond
+CACHE_BYTES = 32 << 20  # and beyond so many bytes of words
 SLICE = 4 << 20
 
 
@@ -121,6 +122,7 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.ids: dict[str, tuple[int, bytes, bytes]] = {}
+        self.held = 0
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text; strings of added tokens stand as they are."""
@@ -131,9 +133,11 @@ class Encoder:
     def learn(self, texts: list[list[str]]) -> None:
         """Put all words of a slice into the cache: number of ids, ids as text, their bytes."""
         new = {w for words in texts for w in set(words)} - self.ids.keys()
-        if len(self.ids) + len(new) > CACHE:
+        if len(self.ids) + len(new) > CACHE or self.held > CACHE_BYTES:
             self.ids.clear()
+            self.held = 0
             new = {w for words in texts for w in set(words)}
+        self.held += sum(map(len, new))
         for w in self.added.keys() & new:
             self.ids[w] = (1, b"%d" % self.added[w], w.encode())
             new.discard(w)

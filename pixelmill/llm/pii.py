@@ -4,17 +4,23 @@ Every detected entity is normalised (letter case, separators) and replaced by a
 surrogate drawn from a keyed hash of its type and normal form, so equal entities get
 equal surrogates everywhere. A surrogate keeps its entity's type and format: digits
 stay digits in the same places, card numbers keep their first digit and a right check
-digit, addresses stay addresses, names keep gender, script and number of words.
+digit, addresses stay addresses and those of one domain share one, names keep gender,
+script and number of words. A name is detected by its title; where it, or its family
+name alone, occurs again in the same text without one, it gets the same surrogate.
 
 Distinct entities are kept distinct by a check over all of them: where two would get
 one surrogate, or a surrogate is itself an entity of the corpus, the later one draws
 again until none clash. The redrawn ones are few; only they are joined to documents.
+Detection runs twice, once for that check and once to replace: entities are never
+written beside their documents, the tables of the check are deleted once it is done,
+and what stays names entities by keyed digests.
 
 The default key is for tests; give a secret one in production.
 
 Defined cases: a null text stays null and an empty one empty, with no entity; a null
-doc_id stays null; repeated rows get equal results; other columns are kept by
-``surrogated``; an empty table gives an empty result.
+doc_id stays null; repeated rows get equal results; other columns, whatever their
+names, are kept by ``surrogated``, except that its own n_found and kinds stand for
+columns of these names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import cut, drop_cut
+from pixelmill.llm.common import cut, drop_cut, places, renamed
 
 KEY = "pixelmill-test-key"
 SHORT = 3  # attempts after which a name, mail address or secret gets letters added, as its shape may have too few values
@@ -50,7 +56,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": r"(?<!\p{L})" + TITLE + PART + r"(?:\s{1,3}" + PART + r")*+",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Inside a word of letters nothing but an address of digits can begin, so most places are left after two looks.
+PATTERN = r"(?:(?<!\p{L})|(?=[0-9]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 LATIN, CYRILLIC, GREEK, ARMENIAN = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"
 SCRIPTS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}  # letters of other scripts become Latin ones
 GIVEN = {("m", "latin"): "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Louis Marc Nils Oscar Paul".split(), ("f", "latin"): "Anna Berta Clara Dora Emma Flora Greta Helena Ida Julia Klara Laura Maria Nora Olga Paula".split(), ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь".split(), ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Зоя Ирина Ольга".split()}
@@ -158,7 +165,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str, family: Col
         octets = F.concat_ws(".", *[(_draw(seed, i, 254) + 1).cast("string") for i in range(4)])
         rest = lambda first: F.substring(shaped(norm, seed), F.lit(first), F.length(norm))
         local = shaped(F.regexp_extract(norm, r"^[^@]*", 0), seed)
-        host = shaped(F.regexp_extract(norm, r"@([^.]*)", 1), F.concat(seed, F.lit("host")))
+        host = let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), F.regexp_extract(norm, r"@(.*)", 1)), 256), lambda x: shaped(F.regexp_extract(norm, r"@([^.]*)", 1), x))
         more = F.when(attempt >= SHORT, shaped(F.lit("abcdefgh"), F.concat(seed, F.lit("more")))).otherwise("")
         wide = F.when(attempt >= WIDE, shaped(F.repeat(F.lit("0"), attempt - WIDE + 1), F.concat(seed, F.lit("wide")))).otherwise("")
         return (
@@ -237,16 +244,20 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def assigned(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, attempt, drawn) with distinct surrogates, none of them an entity itself.
+    """(kind, norm, attempt, drawn) with distinct surrogates, none of them an entity itself; written by ``cut``.
 
     Family names are settled first, then names with them; a name's attempts count both.
     """
     families = found.where("kind = 'name'").select(F.lit("family").alias("kind"), family_of(F.col("norm")).alias("norm")).distinct()
-    families = _settled(families.withColumn("family", F.lit("")), key).select(F.col("norm").alias("_of"), F.col("drawn").alias("family"), F.col("attempt").alias("_before"))
+    settled = _settled(families.withColumn("family", F.lit("")), key)
+    families = settled.select(F.col("norm").alias("_of"), F.col("drawn").alias("family"), F.col("attempt").alias("_before"))
     of = F.when(F.col("kind") == "name", family_of(F.col("norm")))
     whole = cut(found.select("kind", "norm", of.alias("_of")).join(families, "_of", "left").select("kind", "norm", "family", F.coalesce("_before", F.lit(0)).alias("_before")))
-    table = _settled(whole.select("kind", "norm", "family"), key).select("kind", "norm", "attempt", "drawn")
-    return table.join(whole.select("kind", "norm", "_before"), ["kind", "norm"]).select("kind", "norm", (F.col("attempt") + F.col("_before")).alias("attempt"), "drawn")
+    table = _settled(whole.select("kind", "norm", "family"), key)
+    out = cut(table.select("kind", "norm", "attempt", "drawn").join(whole.select("kind", "norm", "_before"), ["kind", "norm"]).select("kind", "norm", (F.col("attempt") + F.col("_before")).alias("attempt"), "drawn"))
+    for done in (settled, whole, table):
+        drop_cut(done)
+    return out
 
 
 def _settled(found: DataFrame, key: str) -> DataFrame:
@@ -270,31 +281,81 @@ def _settled(found: DataFrame, key: str) -> DataFrame:
         table = new
 
 
-def surrogated(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with its ``text`` rewritten, and two columns more: n_found and kinds."""
-    names = docs.columns
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    exceptions = assigned(cut(entities(docs)), key).where("attempt > 0")
+def _digest(kind, norm, key: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit("entity"), kind, norm), 256)
+
+
+def _redrawn(docs: DataFrame, key: str) -> DataFrame | None:
+    """(_name, _sha, _redrawn): of each document the surrogates that aren't the first attempt's, by the entity's digest."""
+    found = cut(entities(docs))
+    table = assigned(found, key)
+    exceptions = table.where("attempt > 0")
     redrawn = None
     if not exceptions.isEmpty():
-        name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-        each = docs.select(name.alias("_name"), F.sha2("text", 256).alias("_sha"), F.explode(_found(F.col("text"))).alias("x")).select("_name", "_sha", "x.kind", "x.norm").where("kind is not null").distinct()
-        redrawn = cut(each.join(exceptions, ["kind", "norm"]).groupBy("_name", "_sha").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), "drawn"))).alias("_redrawn")))
+        each = docs.select("_name", "_sha", F.explode(_found(F.col("text"))).alias("x")).select("_name", "_sha", "x.kind", "x.norm").where("kind is not null").distinct()
+        redrawn = cut(each.join(exceptions, ["kind", "norm"]).groupBy("_name", "_sha").agg(F.map_from_entries(F.collect_set(F.struct(_digest(F.col("kind"), F.col("norm"), key), "drawn"))).alias("_redrawn")))
+    drop_cut(found)
+    drop_cut(table)
+    return redrawn
+
+
+def _mentions(found: Column, drawn: Column) -> Column:
+    """(old, new) of each name of a text without its title, and of its family name, the longest first."""
+
+    def pairs(z):
+        whole = F.struct(F.regexp_replace(z["x"]["e"], "^" + TITLE, "").alias("old"), F.substr(z["d"], F.lit(3)).alias("new"))
+        family = F.struct(family_of(z["x"]["norm"]).alias("old"), F.element_at(F.split(z["d"], " "), -1).alias("new"))
+        return F.array(whole, family)
+
+    names = F.filter(F.arrays_zip(found.alias("x"), drawn.alias("d")), lambda z: F.coalesce(z["x"]["kind"] == "name", F.lit(False)))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(names, pairs)), lambda p: F.length(p["old"]) > 1)), lambda a, b: F.when(F.length(a["old"]) != F.length(b["old"]), F.length(b["old"]) - F.length(a["old"])).when(a["old"] < b["old"], -1).when(a["old"] > b["old"], 1).otherwise(0))
+
+
+def _carried(gap: Column, mentions: Column, pattern: Column) -> Column:
+    """A piece of text between entities with the untitled names of ``mentions`` replaced."""
+    new = F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), lambda x: F.filter(mentions, lambda p: p["old"] == x)[0]["new"])
+    parts = F.arrays_zip(F.split(gap, pattern, -1).alias("gap"), F.concat(new, F.array(F.lit(""))).alias("end"))
+    return F.array_join(F.transform(parts, lambda z: F.concat(z["gap"], z["end"])), "")
+
+
+def rewritten(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """The columns of ``docs`` as ``places`` names them, with the text rewritten, and _n and _kinds: how many entities, of which kinds."""
+    docs = docs.select(*places(docs), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_name"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_sha"))
+    names = [n for n in docs.columns if not n.startswith("_")]
+    redrawn = _redrawn(docs, key)
+    if redrawn is not None:
         small = redrawn.count() <= MOST_BROADCAST
-        docs = docs.withColumns({"_name": name, "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)}).join(F.broadcast(redrawn) if small else redrawn, ["_name", "_sha"], "left")
+        docs = docs.join(F.broadcast(redrawn) if small else redrawn, ["_name", "_sha"], "left")
 
-    def replaced(x):
-        drawn = surrogate(x["kind"], x["norm"], F.lit(0), key)
-        if redrawn is not None:
-            drawn = F.coalesce(F.element_at("_redrawn", F.concat_ws("|", x["kind"], x["norm"])), drawn)
-        return F.when(x["kind"].isNull(), x["e"]).otherwise(F.coalesce(let(drawn, lambda d: rendered(x["kind"], x["e"], d)), x["e"]))
+    def drawn(x):
+        first = surrogate(x["kind"], x["norm"], F.lit(0), key)
+        return first if redrawn is None else F.coalesce(F.element_at("_redrawn", _digest(x["kind"], x["norm"], key)), first)
 
     docs = docs.withColumn("_found", F.coalesce(_found(F.col("text")), F.array().cast("array<struct<e:string,kind:string,norm:string>>")))
-    ends = F.concat(F.transform("_found", replaced), F.array(F.lit("")))
-    whole = F.array_join(F.transform(F.arrays_zip(F.split("text", PATTERN, -1).alias("gap"), ends.alias("end")), lambda z: F.concat(z["gap"], z["end"])), "")
+    docs = docs.withColumn("_drawn", F.transform("_found", drawn))
+    docs = docs.withColumn("_mentions", _mentions(F.col("_found"), F.col("_drawn")))
+    quoted = F.array_join(F.transform("_mentions", lambda p: F.concat(F.lit("\\Q"), p["old"], F.lit("\\E"))), "|")
+    docs = docs.withColumn("_pattern", F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), quoted, F.lit(r")(?![\p{L}\p{M}])")))
+    new = F.transform(F.arrays_zip("_found", "_drawn"), lambda z: let(z["_found"], lambda x: F.when(x["kind"].isNull(), x["e"]).otherwise(F.coalesce(rendered(x["kind"], x["e"], z["_drawn"]), x["e"]))))
+    parts = F.arrays_zip(F.split("text", PATTERN, -1).alias("gap"), F.concat(new, F.array(F.lit(""))).alias("end"))
+    gap = lambda z: F.when(F.size("_mentions") > 0, _carried(z["gap"], F.col("_mentions"), F.col("_pattern"))).otherwise(z["gap"])
+    whole = F.array_join(F.transform(parts, lambda z: F.concat(gap(z), z["end"])), "")
     text = F.when(F.size("_found") > 0, whole).otherwise(F.col("text")).alias("text")
     kinds = F.filter("_found.kind", lambda k: k.isNotNull())  # none: a long number that isn't a card
-    return docs.select(*[text if n == "text" else F.col(n) for n in names], F.size(kinds).cast("long").alias("n_found"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
+    return docs.select(*[text if n == "text" else F.col(n) for n in names], F.size(kinds).cast("long").alias("_n"), F.array_sort(F.array_distinct(kinds)).alias("_kinds"))
+
+
+def surrogated(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with its ``text`` rewritten, and n_found and kinds of the detected entities."""
+    kept = [(c, n) for c, n in zip(renamed(docs, docs.columns), docs.columns, strict=True) if n not in ("n_found", "kinds")]
+    return rewritten(docs, key).select(*[c for c, _ in kept], F.col("_n").alias("n_found"), F.col("_kinds").alias("kinds"))
+
+
+def private(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """The columns of ``docs`` with its ``text`` rewritten; an n_chars follows the text where that changed."""
+    found = rewritten(docs, key)
+    size = lambda c: F.when(F.col("_n") > 0, F.length("text").cast("long")).otherwise(c).alias("n_chars")
+    return found.select(*[size(F.col(f"c{k}")) if n == "n_chars" else c for k, (c, n) in enumerate(zip(renamed(docs, docs.columns), docs.columns, strict=True))])
 
 
 def op7(spark, sf_dir) -> DataFrame:

@@ -7,12 +7,14 @@ So c[j] = c[j - len(t)] + 1, and one pass over the word stores the counts of all
 prefixes. A text's counts are those of its words, added up, so a budget or a
 truncation is answered from the stored counts without encoding again.
 
-Cutting a text may change how its end is split into words (a run of spaces, half a
-contraction); ``PrefixCounts`` splits the last word again where that can happen.
+Cutting a text may change how its end is split into words, in three ways that are known
+beforehand: a prefix that ends in white space ends in one word of all of it; half a
+contraction is an apostrophe and a letter; part of an added token is plain text. So
+the counts at all prefixes take one pass over the text.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); strings of added
 tokens count as one token; a null doc_id stays null; repeated rows and other columns
-make no difference; an empty table gives an empty result.
+make no difference; a budget under 0 keeps nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ from pixelmill.llm.bpe import SLICE, Encoder, encode_words, read_vocabulary, voc
 from pixelmill.llm.common import bounded, by_bytes, worker_store
 
 CACHE = 1_000_000  # pairs of tokens; a quarter as many words
+CACHE_BYTES = 4 << 20  # bytes of the words whose tables are kept, 8 bytes and more for each
+CONTRACTION = ("'re", "'ve", "'ll")  # fixed values: those of the pre-tokenizer that a cut can halve
 
 
 class PrefixCounts:
     """Prefix tables of words, kept in a bounded cache; one per Python worker."""
 
     def __init__(self, vocabulary: dict):
+        import regex
+
         self.base = Encoder(vocabulary)
         added = set(vocabulary["added"].values())
         self.ids = {t: i for i, t in enumerate(vocabulary["tokens"]) if t and i not in added}
@@ -37,6 +43,8 @@ class PrefixCounts:
         self.tails: dict[bytes, tuple[bytes, ...]] = {}
         self.beside: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.held = 0
+        self.blank = regex.compile(r"\s+").finditer
         # a token that its own encoding splits up can't be a last token
         whole = encode_words(list(self.ids), self.base.merges, self.base.single)
         self.tokens = {t for t, ids in zip(self.ids, whole, strict=True) if len(ids) == 1}
@@ -69,69 +77,113 @@ class PrefixCounts:
     def table(self, word: str) -> list[int]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > CACHE // 4:
+            if len(self.known) > CACHE // 4 or self.held > CACHE_BYTES:
                 self.known.clear()
+                self.held = 0
             found = self.known[word] = [0, 1] if word in self.base.added else self.of_word(word.encode())
+            self.held += len(found)
         return found
 
     def count(self, text: str) -> int:
         return sum(self.table(w)[-1] for w in self.base.words(text))
 
+    def steps(self, text: str):
+        """Token counts of text[:1], text[:2], ... text[:len(text)], each with a number that no longer prefix falls below."""
+        base, before = 0, ""  # tokens up to the last plain part, and that part
+        parts = self.base.split(text) if self.base.split else [text]
+        for k, part in enumerate(parts):
+            if k % 2:
+                for i in range(1, len(part)):
+                    yield base + self.count(before + part[:i]), base
+                base += self.count(before) + 1
+                yield base, base
+                continue
+            before, upto = part, 0  # tokens of the whole words before the present one
+            floor = last = base  # tokens before the word before the last, and before the last: all that a cut leaves alone
+            blanks = {m.start(): m.group() for m in self.blank(part)}
+            run = None  # table of the white space that the present one goes on with, its first byte, tokens before it
+            at = 0
+            for w in self.base.find(part):
+                table, size = self.table(w), 0
+                for i, c in enumerate(w, 1):
+                    if at in blanks:
+                        run = self.table(blanks[at]), 0, upto
+                        ends = at + len(blanks[at])
+                    at += 1
+                    wide = len(c.encode())
+                    size += wide
+                    if run is not None and at <= ends:
+                        run = run[0], run[1] + wide, run[2]
+                        yield base + run[2] + run[0][run[1]], floor
+                    elif i == 2 and w in CONTRACTION:
+                        yield base + upto + self.table(w[0])[-1] + self.table(w[1])[-1], floor
+                    else:
+                        yield base + upto + table[size], floor
+                floor, last = last, base + upto
+                upto += table[-1]
+
     def prefixes(self, text: str) -> list[int]:
         """Token counts of text[:0], text[:1], ... text[:len(text)]."""
-        out, start, upto = [0], 0, [0]
-        words = self.base.words(text)
-        starts = []
-        for w in words:
-            starts.append(start)
-            start += len(w)
-        for k, w in enumerate(words):
-            table, size = self.table(w), 0
-            for i, c in enumerate(w, 1):
-                size += len(c.encode())
-                end = starts[k] + i
-                back = k
-                while back and k - back < 3:
-                    back -= 1
-                again = self.base.words(text[starts[back] : end])
-                if again == [*words[back:k], w[:i]] and w not in self.base.added:
-                    out.append(upto[k] + table[size])
-                else:
-                    out.append(upto[back] + sum(self.table(x)[-1] for x in again))
-            upto.append(upto[k] + table[-1])
-        return out
+        return [0, *(n for n, _ in self.steps(text))]
+
+    def fitting(self, text: str, budget: int) -> int:
+        """Length of the longest prefix of at most ``budget`` tokens; reads on only while one can still fit."""
+        best = 0
+        for i, (n, least) in enumerate(self.steps(text), 1):
+            if n <= budget:
+                best = i
+            elif least > budget:
+                break
+        return best
 
     def truncated(self, text: str, budget: int) -> str:
         """The longest prefix of at most ``budget`` tokens."""
-        counts = self.prefixes(text)
-        return text[: max(i for i, n in enumerate(counts) if n <= budget)]
-
+        return text[: self.fitting(text, budget)]
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
-
-def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
+def _mapped(docs: DataFrame, body, schema: str, path: str | None) -> DataFrame:
+    """``body`` of the worker's tables and each slice of (doc_id, text); it gives the columns of ``schema``."""
     path = vocabulary_path(path)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         store, key = worker_store(), f"counts:{path}"
         if key not in store:
             store[key] = PrefixCounts(shared.value)
-        counts = store[key]
         for batch in by_bytes(batches, "text", SLICE):
-            size, tokens = [], []
-            for text in batch.column("text").to_pylist():
-                total = 0
-                known = counts.known.get
-                for w in counts.base.words(text or ""):
-                    total += (known(w) or counts.table(w))[-1]
-                tokens.append(total)
-                size.append(len((text or "").encode()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], schema=SCHEMA)
-
-    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *body(store[key], texts)], names=names)
+
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+
+
+def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
+
+    def body(counts, texts):
+        size, tokens, known = [], [], counts.known.get
+        for text in texts:
+            tokens.append(sum((known(w) or counts.table(w))[-1] for w in counts.base.words(text)))
+            size.append(len(text.encode()))
+        return pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())
+
+    return _mapped(docs, body, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", path)
+
+
+def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and counts: the tokens of each prefix of the text, by its number of characters from 0."""
+    return _mapped(docs, lambda counts, texts: [pa.array([counts.prefixes(t) for t in texts], pa.list_(pa.int32()))], "doc_id long, counts array<int>", path)
+
+
+def truncated(docs: DataFrame, budget: int, path: str | None = None) -> DataFrame:
+    """doc_id, text (its longest prefix of at most ``budget`` tokens), n_tokens (of that prefix) and whole (nothing was cut)."""
+
+    def body(counts, texts):
+        kept = [counts.truncated(t, budget) for t in texts]
+        return pa.array(kept, pa.string()), pa.array([counts.count(t) for t in kept], pa.int64()), pa.array([a == b for a, b in zip(kept, texts, strict=True)], pa.bool_())
+
+    return _mapped(docs, body, "doc_id long, text string, n_tokens long, whole boolean", path)
 
 
 def op6(spark, sf_dir) -> DataFrame:

@@ -3,11 +3,13 @@
 import itertools
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 import regex
 
 from pixelmill.llm import pii, quality, url_filter
+from pixelmill.llm.common import shared_dir
 
 
 def brute_rule(host, path):
@@ -98,7 +100,7 @@ TEXTS = [
 
 def test_surrogates(spark):
     rows = [(i, t, 5, "k") for i, t in enumerate(TEXTS)] + [(90, None, 5, "k"), (91, "", 5, "k"), (None, TEXTS[0], 5, "k"), (92, "a@b.co " * 3000, 5, "k"), (92, TEXTS[1], 5, "k")]
-    got = pii.surrogated(spark.createDataFrame(rows, "doc_id long, text string, n_found int, kind string").drop("n_found")).collect()
+    got = pii.surrogated(spark.createDataFrame(rows, "doc_id long, text string, n_found int, kind string")).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
@@ -119,6 +121,7 @@ def test_surrogates(spark):
     assert sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(cards[0]))) % 10 == 0
     names = [m[0] for m in found.finditer(text[5])]
     assert names[2] == names[4] != names[3] and names[0].startswith("Herr ") and names[3].split()[1] in pii.GIVEN["m", "latin"] and names[2].split()[1] in pii.GIVEN["f", "latin"]
+    assert pii.surrogated(spark.createDataFrame([], "doc_id long, text string, kinds string")).count() == 0
     assert len(set(found.findall(by[92][0].text if len(by[92][0].text) > 99 else by[92][1].text))) == 1
 
 
@@ -214,3 +217,59 @@ def test_redraws_end(spark):
     texts = [f"token=-------{i}" for i in range(10)] + ["secret: ________"] + [f"Mr. {chr(65 + i)}. Smith!" for i in range(26)]
     got = {r.doc_id: r.text for r in pii.surrogated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+
+
+def test_names_are_carried_through_a_text(spark):
+    texts = [
+        "Mr John Smith came. Smith and John Smith left; Smithson stayed, smith too. Mrs\tAnna O'Neil saw O'Neil.",
+        "Smith alone has no title here, John Smith neither",
+        "Frau Éva Müller-Lüdenscheidt; Éva Müller-Lüdenscheidt, Müller-Lüdenscheidt!",
+        "Mr Smith " + "and Smith " * 5000,
+    ]
+    got = {r.doc_id: r.text for r in pii.surrogated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    given, family = regex.match(r"Mr (\w+) (\w+) came\. ", got[0]).groups()
+    assert f"came. {family} and {given} {family} left; Smithson stayed, smith too. Mrs\t" in got[0] and "Neil" not in got[0]
+    her, hers = regex.search(r"Mrs\t(\w+) (\S+) saw", got[0]).groups()
+    assert her in pii.GIVEN["f", "latin"] and got[0].endswith(f"saw {hers}.")
+    assert got[1] == texts[1] and "ller" not in got[2] and "denscheidt" not in got[2] and "Éva" not in got[2]
+    assert got[3] == "Mr " + family + " " + f"and {family} " * 5000
+
+
+def test_addresses_of_a_domain_stay_together(spark):
+    rows = [(1, "ann@corp.com bob@corp.com ann@firm.net")]
+    a, b, c = regex.findall(r"\S+@(\S+)", pii.surrogated(spark.createDataFrame(rows, "doc_id long, text string")).first().text)
+    assert a == b != c
+
+
+def test_columns_of_any_name_are_kept(spark):
+    schema = "doc_id long, text string, _found string, `a.b` int, n_found string, _sha int, n_chars long, kinds string, c0 int"
+    rows = [(1, "mail a@b.co", "own", 1, "x", 2, 11, "k", 3), (None, None, "own", 1, "x", 2, None, "k", 3), (1, "clean", "own", 1, "x", 2, 5, "k", 3)]
+    table = spark.createDataFrame(rows, schema)
+    kept = pii.private(table)
+    assert kept.columns == table.columns
+    got = {r.text: r for r in kept.collect()}
+    assert len(got) == 3 and all(tuple(r)[2:6] == ("own", 1, "x", 2) and tuple(r)[7:] == ("k", 3) for r in got.values())
+    assert all(r.n_chars == (len(t) if t else None) for t, r in got.items())
+    found = pii.surrogated(table)
+    assert found.columns == ["doc_id", "text", "_found", "a.b", "_sha", "n_chars", "c0", "n_found", "kinds"]
+    assert sorted(r.n_found for r in found.collect()) == [0, 0, 1]
+
+
+def test_nothing_raw_stays_behind(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)} Quillfeather, token=-------{i % 10}") for i in range(200)]
+    out = pii.surrogated(spark.createDataFrame(rows, "doc_id long, text string"))
+    for left in set(folder.iterdir()) - before:
+        assert not any("Quillfeather" in str(r) or "token" in str(r) for r in spark.read.parquet(str(left)).collect())
+    assert out.where("text like '%Quillfeather%'").count() == 0
+
+
+def test_pattern_guard_changes_nothing():
+    rng = random.Random(3)
+    pieces = ["a", "Mr", " ", "1.2.3.4", "x9.8.7.6", "é", "+1 212 555 0101", "5Mr Smith", "ab123-45-6789", "4111 1111 1111 1111", "DE89370400440532013000", "q@b.co", "_", "-", "Frau Ö", ".", "token=abcdefgh1", "9"]
+    plain = regex.compile("|".join(f"(?:{p})" for p in pii.PATTERNS.values()))
+    guarded = regex.compile(pii.PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in guarded.finditer(text)], text

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from pixelmill.llm.bpe import Encoder, encode_decode, encoded, read_vocabulary
-from pixelmill.llm.token_counts import PrefixCounts, token_counts
+from pixelmill.llm.token_counts import PrefixCounts, prefix_counts, token_counts, truncated
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,8 +56,26 @@ def test_prefix_counts_are_the_librarys(library, vocabulary):
         want = [len(x.ids) for x in library.encode_batch([text[:i] for i in range(len(text) + 1)], add_special_tokens=False)]
         assert counts.prefixes(text) == want, text
         assert counts.count(text) == want[-1]
-        cut = counts.truncated(text, 7)
-        assert want[len(cut)] <= 7 and all(n > 7 for n in want[len(cut) + 1 :])
+        for budget in (0, 3, 7, 20):
+            cut = counts.truncated(text, budget)
+            assert want[len(cut)] <= budget and all(n > budget for n in want[len(cut) + 1 :])
+
+
+def test_prefix_tables_as_dataframes(spark, library):
+    found = [*texts(4, 30), None, "don't  \n we'll\n\nthey've <|endoftext|> x<|endo", "lorem ipsum " * 20000]
+    rows = spark.createDataFrame([(i, t, 3) for i, t in enumerate(found)], "doc_id long, text string, counts int")
+    for r in prefix_counts(rows).collect():
+        text = found[r.doc_id] or ""
+        assert len(r.counts) == len(text) + 1
+        for i in {0, 1, len(text) // 3, len(text) - 1, len(text), *range(min(len(text), 40))}:
+            if 0 <= i <= min(3000, len(text)) or i == len(text):
+                assert r.counts[i] == len(library.encode(text[:i], add_special_tokens=False).ids), (text[:i], i)
+    for r in truncated(rows, 50).collect():
+        text = found[r.doc_id] or ""
+        whole = len(library.encode(text, add_special_tokens=False).ids)
+        assert text.startswith(r.text) and r.n_tokens == len(library.encode(r.text, add_special_tokens=False).ids) <= 50 and r.whole == (whole <= 50)
+    assert prefix_counts(rows.limit(0)).count() == truncated(rows.limit(0), 5).count() == 0
+    assert [r.text for r in truncated(rows.where("doc_id = 31"), -1).collect()] == [""]
 
 
 def test_queries_handle_nulls_and_long_texts(spark, library):
