@@ -56,8 +56,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": r"(?<!\p{L})" + TITLE + PART + r"(?:\s{1,3}" + PART + r")*+",
 }
-# Inside a word of letters nothing but an address of digits can begin, so most places are left after two looks.
-PATTERN = r"(?:(?<!\p{L})|(?=[0-9]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# Inside a word of ASCII letters nothing but an address of digits can begin, so most places are left after two looks.
+PATTERN = r"(?:(?<![A-Za-z])|(?=[0-9]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 LATIN, CYRILLIC, GREEK, ARMENIAN = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"
 SCRIPTS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}  # letters of other scripts become Latin ones
 GIVEN = {("m", "latin"): "Adam Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Louis Marc Nils Oscar Paul".split(), ("f", "latin"): "Anna Berta Clara Dora Emma Flora Greta Helena Ida Julia Klara Laura Maria Nora Olga Paula".split(), ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь".split(), ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Зоя Ирина Ольга".split()}

@@ -258,7 +258,7 @@ def test_columns_of_any_name_are_kept(spark):
 def test_nothing_raw_stays_behind(spark):
     folder = Path(shared_dir(spark).removeprefix("file://"))
     before = set(folder.iterdir())
-    rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)} Quillfeather, token=-------{i % 10}") for i in range(200)]
+    rows = [(i, f"Mr Quillfeather, token=-------{i % 10}") for i in range(20)]
     out = pii.surrogated(spark.createDataFrame(rows, "doc_id long, text string"))
     for left in set(folder.iterdir()) - before:
         assert not any("Quillfeather" in str(r) or "token" in str(r) for r in spark.read.parquet(str(left)).collect())
