@@ -42,6 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pixelmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    worker_store().setdefault("written", []).append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_at = path
     return back
@@ -51,9 +52,26 @@ def drop_cut(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df`` once nothing reads it any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+        worker_store()["written"] = [p for p in written() if p != path]
+
+
+def written() -> list[str]:
+    """What this driver's ``cut`` has written so far."""
+    return list(worker_store().get("written", []))
+
+
+def sweep(spark: SparkSession, since: list[str], keep: DataFrame) -> None:
+    """Delete what ``cut`` wrote after ``since``, except ``keep``; nothing lazy may read it any more."""
+    kept = getattr(keep, "_written_at", None)
+    for path in set(written()) - set(since) - {kept}:
+        _delete(spark, path)
+    worker_store()["written"] = [p for p in written() if p in since or p == kept]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def worker_store() -> dict:

@@ -47,7 +47,11 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     if len(words) <= size:
         return hashed(line, SEED)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
-    hashes = np.array([hashed(line[a : b - 1], SEED) for a, b in zip(starts, starts[size:], strict=False)], np.uint64)
+    return majority(np.array([hashed(line[a : b - 1], SEED) for a, b in zip(starts, starts[size:], strict=False)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some hashes."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     total = bits.sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(total * 2 > len(hashes), bitorder="little").tobytes(), "little")

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from pixelmill.llm import decontaminate, simhash
+import corpus_pipeline
+from pixelmill.llm import decontaminate, near_copies, quality, simhash
 from pixelmill.llm.common import NO_ID
 
-SCHEMA = "doc_id long, text string, _id string, _sha string, c0 int, fp long, component long"
+SCHEMA = "doc_id long, text string, _id string, `a.b` string, c0 int, fp long, component long"
 
 
 def table(spark, rows):
@@ -48,3 +49,26 @@ def test_uncontaminated_rows(spark):
     assert kept == sorted([rows[1], rows[3], rows[4], rows[5], rows[6]], key=repr)
     assert seen(decontaminate.uncontaminated(table(spark, []), bench)) == []
     assert len(seen(decontaminate.uncontaminated(table(spark, rows), bench.where(F.lit(False))))) == len(rows)
+
+
+def test_quality_rows(spark):
+    rows = [(i, ("good words here, all of them fine. " if i % 2 else "#$% |||| !!!! ") * 5) for i in range(60)]
+    odd = [(None, None), (1, ""), (1, rows[0][1]), (None, rows[1][1]), (3, "x" * 200_000), (1, rows[0][1])]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(4, 1, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.fit(table(spark, rows), labels)
+    kept = seen(quality.accepted(table(spark, rows + odd), model))
+    want = quality.score_with(table(spark, rows + odd).selectExpr("monotonically_increasing_id() doc_id", "text", "doc_id was"), model)
+    assert len(kept) == want.where("predicted = 1").count() and {t for _, t in kept if t} >= {rows[1][1]} and rows[0][1] not in {t for _, t in kept}
+    assert seen(quality.accepted(table(spark, []), model)) == []
+    assert len(seen(corpus_pipeline.keep_quality(spark, table(spark, odd), "/root/testdata/sf0.001"))) <= len(odd)
+
+
+def test_near_copy_rows(spark):
+    rows = [(5, text(1)), (3, text(1)), (None, text(2)), (None, text(2)), (9, None), (8, " "), (3, text(3))]
+    assert seen(near_copies.one_of_each(table(spark, rows))) == sorted([(3, text(1)), (None, text(2)), (8, " "), (3, text(3))], key=repr)
+    assert seen(near_copies.one_of_each(table(spark, []))) == []
+
+
+def test_private_rows(spark):
+    rows = [(1, None), (None, ""), (1, text(1)), (1, text(1)), (None, text(1))]
+    assert seen(corpus_pipeline.without_personal_data(spark, table(spark, rows), "")) == sorted(rows, key=repr)
