@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from pixelmill.llm.common import NO_ID, bounded, cut, with_id
+from pixelmill.llm.common import NO_ID, bounded, cut, drop_cut, with_id
 from pixelmill.llm.components import components
 
 TILE = 256
@@ -171,12 +172,16 @@ def compared(rows: np.ndarray, ids: np.ndarray, weight: np.ndarray, split: int,
     return links, best[top]
 
 
-def _with_node(distinct: DataFrame) -> DataFrame:
-    """``distinct`` with a number of its own for each row, whatever its ids: a hash of label and vector without collisions."""
+def _node(salt: int):
+    """A number for each pair of label and vector."""
+    return F.xxhash64(F.lit(salt), "label", "v")
+
+
+def _salt(distinct: DataFrame) -> int:
+    """The first salt with which no two rows of ``distinct`` get one number."""
     for salt in count():
-        named = distinct.withColumn("node", F.xxhash64(F.lit(salt), "label", "v"))
-        if named.groupBy("node").count().where("count > 1").isEmpty():
-            return named
+        if distinct.groupBy(_node(salt).alias("node")).count().where("count > 1").isEmpty():
+            return salt
 
 
 def placed(distinct: DataFrame, cells: dict) -> DataFrame:
@@ -191,19 +196,19 @@ def placed(distinct: DataFrame, cells: dict) -> DataFrame:
             for d in np.unique(size).tolist():
                 if d in cells:
                     on = np.flatnonzero(size == d)
-                    turned = cells[d].turned(np.array(batch.column("v").take(pa.array(on)).flatten()).reshape(-1, d))
+                    turned = cells[d].turned(np.array(batch.column("v").take(pa.array(on)).flatten(), np.float64).reshape(-1, d))
                     path[on] = cells[d].of(turned)
                     t[on, : turned.shape[1]] = turned
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(path), pa.array(list(t), pa.list_(pa.float64()))], names=[*batch.schema.names, "path", "t"])
 
     sized = bounded(distinct).select("label", F.size("v").alias("d"), "node", "n", "v")
-    return sized.mapInArrow(run, f"label {distinct.schema['label'].dataType.simpleString()}, d int, node long, n long, v array<double>, path long, t array<double>")
+    return sized.mapInArrow(run, f"label {distinct.schema['label'].dataType.simpleString()}, d int, node long, n long, v {distinct.schema['v'].dataType.simpleString()}, path long, t array<double>")
 
 
 def boxes(points: DataFrame, group: int) -> DataFrame:
     """(label, d, cell, depth, groups, low, high): the cells of each label, about ``group`` vectors each, and their boxes."""
     keys = ["label", "d"]
-    depth = F.least(F.lit(DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / group)))).cast("int")
+    depth = F.least(F.lit(DEPTH), F.greatest(F.lit(0), F.floor(F.log2(F.count("*") / group)))).cast("int")
     sized = points.join(points.groupBy(*keys).agg(depth.alias("depth")), keys)
     cell = F.expr(f"shiftright(path, {DEPTH} - depth)")
     ends = [f(F.col("t")[k]).alias(f"{n}{k}") for n, f in (("low", F.min), ("high", F.max)) for k in range(LEAD)]
@@ -238,26 +243,29 @@ def pairs_of_groups(points: DataFrame, threshold: float, group: int) -> DataFram
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, group: int = 2048, sample: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label)."""
-    values = F.col("embedding").cast("array<double>")
-    rows = with_id(vectors, "vec_id").select("_id", F.col("label").alias("label"), F.transform(values, lambda x: x + F.lit(0.0)).alias("v"))
+    of = "float" if vectors.schema["embedding"].dataType.elementType == FloatType() else "double"
+    values = F.transform(F.col("embedding").cast(f"array<{of}>"), lambda x: x + F.lit(0.0).cast(of))  # no negative zero
+    rows = with_id(vectors, "vec_id").select("_id", F.col("label").alias("label"), values.alias("v"))
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.coalesce(ok & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.select("_id", "label", "v", ok.alias("ok"))
     distinct = cut(rows.where("ok").groupBy("label", "v").agg(F.min("_id").alias("rep"), F.count("*").alias("n")))
-    distinct = _with_node(distinct)
+    node = _node(_salt(distinct))
+    distinct = distinct.withColumn("node", node)
     cells = {}
     for r in distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect():
         cells.setdefault(len(r.v), []).append(r.v)
-    axes = {d: principal_axes(np.array(x)) for d, x in cells.items()}
-    cells = {d: Cells(np.array(x)) for d, x in cells.items()}
-    sides = pairs_of_groups(placed(distinct, cells), threshold, group)
+    axes = {d: principal_axes(np.array(x, np.float64)) for d, x in cells.items()}
+    cells = {d: Cells(np.array(x, np.float64)) for d, x in cells.items()}
+    points = cut(placed(distinct, cells))
+    sides = pairs_of_groups(points, threshold, group)
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def task(part: pa.Table) -> pa.Table:
         second = part.column("second").to_numpy(zero_copy_only=False).astype(bool)
         order = np.lexsort((part.column("node").to_numpy(), second))
         ids, weight = part.column("node").to_numpy()[order], part.column("n").to_numpy()[order]
-        matrix = np.stack(part.column("v").to_pandas().to_numpy())[order]
+        matrix = np.stack(part.column("v").to_pandas().to_numpy()).astype(np.float64)[order]
         within = part.column("a")[0].as_py() == part.column("b")[0].as_py()
         links, root = compared(matrix, ids, weight, len(ids) if within else int((~second).sum()), within, axes.get(matrix.shape[1]), threshold)
         on = links > 0
@@ -266,10 +274,11 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, group: int = 20
     found = cut(sides.groupBy("label", "d", "a", "b").applyInArrow(task, "node long, links long, root long"))
     named = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = distinct.join(counts, "node", "left").join(named, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    drop_cut(points)
+    classes = distinct.select("node", "n", "rep").join(counts, "node", "left").join(named, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     least = classes.groupBy("root").agg(F.min("rep").alias("component"))
-    classes = classes.join(least, "root").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
-    linked = rows.where("ok").join(classes, ["label", "v"]).select("_id", "links", "component")
+    classes = classes.join(least, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
+    linked = rows.where("ok").select("_id", node.alias("node")).join(classes, "node").select("_id", "links", "component")
     alone = rows.where("not ok").select("_id", F.lit(0).cast("long").alias("links"), F.col("_id").alias("component"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return linked.unionByName(alone).select(null("_id").alias("vec_id"), F.col("links").alias("n_links"), null("component").alias("component_id"), (F.col("_id") == F.col("component")).alias("kept"))

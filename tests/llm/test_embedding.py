@@ -87,7 +87,7 @@ def test_far_cells_are_never_paired(spark):
     rows = [(i, (centres[i % 6] + rng.normal(size=6) * 0.05).tolist(), 1) for i in range(600)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup(table, group=32).collect()} == brute(rows)
-    points = placed(table.selectExpr("label", "vec_id node", "1L n", "transform(embedding, x -> double(x)) v"), {6: Cells(np.array([r[1] for r in rows]))})
+    points = placed(table.selectExpr("label", "vec_id node", "1L n", "embedding v"), {6: Cells(np.array([r[1] for r in rows]))})
     cells = boxes(points, 32).count()
     assert cells > 12 and near_cells(boxes(points, 32), 0.93).count() < cells * cells / 3
     assert pairs_of_groups(points, 0.93, 32).count() < 600 * cells / 3
