@@ -366,12 +366,11 @@ def regions(mask: np.ndarray) -> list[dict]:
     for k in range(1, n + 1):
         y, x = np.nonzero(marks == k)
         part = marks[y.min() : y.max() + 1, x.min() : x.max() + 1] == k
-        a = np.var(y) + 1 / 12
-        c = np.var(x) + 1 / 12
+        a, c = np.var(y), np.var(x)
         b = np.mean((y - y.mean()) * (x - x.mean()))
         mid, half = (a + c) / 2, np.sqrt(((a - c) / 2) ** 2 + b * b)
         l1, l2 = mid + half, mid - half
-        out.append({"label": k, "area": float(len(y)), "perimeter": _perimeter(part), "eccentricity": float(np.sqrt(max(0.0, 1 - l2 / l1))) if l1 else 0.0, "solidity": len(y) / _hull_area(part)})
+        out.append({"label": k, "area": float(len(y)), "perimeter": _perimeter(part), "eccentricity": float(np.sqrt(min(1.0, max(0.0, 1 - l2 / l1)))) if l1 else 0.0, "solidity": len(y) / _hull_area(part)})
     return out
 
 

@@ -26,36 +26,51 @@ def with_class_ids(df: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return df.withColumn("_ids", F.create_map(*pairs)[F.col("class_name")]).where("_ids is not null").withColumns({"class_id_binary": F.col("_ids.two"), "class_id_4way": F.col("_ids.four")}).drop("_ids")
 
 
-def sizes(n: Column, params: Params = DEFAULT):
-    """Numbers of training and validation rows of a class of n; the rest are test rows."""
-    train = F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.bround(n * params.train).cast("int")))
-    val = F.when(n == 1, 0).otherwise(F.bround(n * params.val).cast("int"))
-    short = (n >= 3) & (n - train - val < 1)
-    return train, F.when(short, F.greatest(F.lit(0), val - 1)).otherwise(val)
+# What the size rule needs, on numbers and on columns; both round halves to even.
+ON_NUMBERS = (round, max, lambda on, a, b: a if on else b)
+ON_COLUMNS = (lambda x: F.bround(x).cast("int"), lambda a, b: F.greatest(F.lit(a), b), lambda on, a, b: F.when(on, a).otherwise(b))
+
+
+def sizes(n, params: Params = DEFAULT, on=ON_COLUMNS):
+    """Numbers of training and validation rows of a class of n; the rest, one at least from three rows on, are test rows."""
+    nearest, larger, choose = on
+    train = choose(n == 1, 1, larger(1, nearest(n * params.train)))
+    val = choose(n == 1, 0, nearest(n * params.val))
+    return train, choose((n >= 3) & (n - train - val < 1), larger(0, val - 1), val)
 
 
 def split(df: DataFrame, key: str = "image_id", by: str = "class_name", params: Params = DEFAULT) -> DataFrame:
-    """Adds ``split``; the order inside a class is that of a seeded hash of the key."""
-    order = F.md5(F.concat(F.lit(f"{params.seed}:"), F.col(key).cast("string")))
-    ranked = df.withColumns({"_r": F.row_number().over(W.partitionBy(by).orderBy(order, key)), "_n": F.count("*").over(W.partitionBy(by))})
+    """Adds ``split``; the order inside a class is that of a seeded hash of the key.
+
+    Rows are ranked inside slices of that order, by the hash's first digits, and slices
+    (4096 of a class at most) by their counts, so no task holds a whole class.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{params.seed}:"), F.col(key).cast("string")))).withColumn("_slice", F.substring("_hash", 1, 3))
+    counts = hashed.groupBy(by, "_slice").agg(F.count("*").alias("_in"))
+    before = W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = counts.select(by, "_slice", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(W.partitionBy(by)).alias("_n"))
+    ranked = hashed.withColumn("_r", F.row_number().over(W.partitionBy(by, "_slice").orderBy("_hash", key))).join(F.broadcast(slices), [by, "_slice"])
     train, val = sizes(F.col("_n"), params)
-    return ranked.withColumn("split", F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")).drop("_r", "_n")
+    place = F.col("_before") + F.col("_r")
+    return ranked.select(*df.columns, F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test").alias("split"))
+
+
+def by_parts(items: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Items (path, class) by class, then by the parts of their paths, folder by folder."""
+    return sorted(items, key=lambda item: (item[1], item[0].split("/")))
 
 
 def split_compatible(items: list[tuple[str, str]], params: Params = DEFAULT) -> dict[str, str]:
     """Membership by one seeded generator shared over classes, in the order of ``items`` (path, class)."""
-    rng, groups, out = random.Random(params.seed), {}, {}
+    rng, members = random.Random(params.seed), {}
     for path, name in items:
-        groups.setdefault(name, []).append(path)
-    for paths in groups.values():
+        members.setdefault(name, []).append(path)
+    found = {}
+    for paths in members.values():
+        train, val = sizes(len(paths), params, ON_NUMBERS)
         rng.shuffle(paths)
-        n = len(paths)
-        train = max(1, round(n * params.train))
-        val = 0 if n == 1 else round(n * params.val)
-        if n >= 3 and n - train - val < 1:
-            val = max(0, val - 1)
-        out |= {p: "train" if i < train else "val" if i < train + val else "test" for i, p in enumerate(paths)}
-    return out
+        found.update(zip(paths, ["train"] * train + ["val"] * val + ["test"] * (len(paths) - train - val), strict=True))
+    return found
 
 
 def split_counts(df: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pixelmill.operators import split as S
 from pixelmill.sources.images import decoded, discover, rgb_of
 
 NUMBERS = (*MORPHOLOGY, *TEXTURE, *COLOUR)
-OUT = LAYERS + ", error string, " + ", ".join(f"{n} double" for n in NUMBERS)
+CARRIED = ("orig_path", "class_name", "class_id_binary", "class_id_4way")  # of the manifest, through the kernels
+OUT = LAYERS + ", orig_path string, class_name string, class_id_binary int, class_id_4way int, error string, " + ", ".join(f"{n} double" for n in NUMBERS)
+MOST_BROADCAST = 100_000  # manifest rows; a larger manifest is joined by a shuffle
 FEW = "16"  # images per Arrow batch: a row holds megabytes
 
 
@@ -29,7 +31,7 @@ def manifest(spark, root: str, params: Params = DEFAULT, compatible: bool = Fals
     """
     found = S.with_class_ids(discover(spark, root, params), params)
     if compatible:
-        items = [(r.orig_path, r.class_name) for r in found.select("orig_path", "class_name").orderBy("class_name", "orig_path").collect()]
+        items = S.by_parts([tuple(r) for r in found.select("orig_path", "class_name").collect()])
         table = spark.createDataFrame(list(S.split_compatible(items, params).items()), "orig_path string, split string")
         found = found.join(table, "orig_path")
     else:
@@ -72,12 +74,12 @@ def transformed(images: DataFrame, reference, params: Params = DEFAULT) -> DataF
                     if r["height"] is None or not r["height"] > 0:
                         raise ValueError(f"can't decode {r['orig_path']}")
                     layers, numbers = K.layers_and_features(rgb_of(r["data"], int(r["height"]), int(r["width"]), int(r["channels"])), params, reference)
-                    rows.append((r["image_id"], r["split"], r["height"], r["width"], layers["rgb"].tobytes(), *[layers[k].ravel().tolist() for k in ("apc", "log", "canny", "nucleus_mask", "cell_mask")], None, *numbers))
-                except ValueError as e:
-                    rows.append((r["image_id"], r["split"], 0, 0, None, *[None] * 5, str(e), *[None] * len(NUMBERS)))
+                    rows.append((r["image_id"], r["split"], r["height"], r["width"], layers["rgb"].tobytes(), *[layers[k].ravel().tolist() for k in ("apc", "log", "canny", "nucleus_mask", "cell_mask")], *[r[c] for c in CARRIED], None, *numbers))
+                except Exception as e:  # whatever fails, fails for this image alone
+                    rows.append((r["image_id"], r["split"], 0, 0, None, *[None] * 5, *[r[c] for c in CARRIED], f"{type(e).__name__}: {e}", *[None] * len(NUMBERS)))
             yield pd.DataFrame(rows, columns=names)
 
-    return images.select("image_id", "orig_path", "split", "height", "width", "channels", "data").mapInPandas(run, OUT)
+    return images.select("image_id", *CARRIED, "split", "height", "width", "channels", "data").mapInPandas(run, OUT)
 
 
 def run(spark, root: str, out: str, params: Params = DEFAULT, compatible: bool = False, dry: bool = False) -> dict:
@@ -86,27 +88,28 @@ def run(spark, root: str, out: str, params: Params = DEFAULT, compatible: bool =
     counts = S.split_counts(table)
     if table.isEmpty():
         return {"status": 1, "manifest": table, "counts": counts}
-    table.coalesce(1).orderBy("class_name", "orig_path").write.mode("overwrite").option("header", "true").csv(f"{out}/manifest")
+    table.orderBy("class_name", F.split("orig_path", "/")).coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out}/manifest")
     if dry:
         return {"status": 0, "manifest": table, "counts": counts}
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", FEW)
     try:
         clean = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-        pixels = decoded(spark, root).withColumn("_key", clean("orig_path")).drop("orig_path")
-        images = table.withColumn("_key", clean("orig_path")).join(pixels, "_key", "left")
-        sample = S.reference_sample(S.reference_pool(table), "orig_path", params)
-        chosen = sample.select(clean("orig_path").alias("_key"))
-        reference = fit_reference(images.join(F.broadcast(chosen), "_key", "left_semi"))
+        # a few paths, no more than the parameter says; only these are read and decoded here
+        chosen = [r.orig_path for r in S.reference_sample(S.reference_pool(table), "orig_path", params).select("orig_path").collect()]
+        reference = fit_reference(decoded(spark, chosen))
+        names = table.withColumn("_key", clean("orig_path"))
+        names = F.broadcast(names) if names.count() <= MOST_BROADCAST else names
+        images = decoded(spark, root).withColumn("_key", clean("orig_path")).drop("orig_path").join(names, "_key")
         transformed(images, reference, params).write.mode("overwrite").partitionBy("split").parquet(f"{out}/transformed")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     done = spark.read.schema(OUT).parquet(f"{out}/transformed")
-    ids = table.select("image_id", "split", "class_name", "class_id_binary", "class_id_4way").distinct()
     good = done.where("error is null")
-    features = good.join(ids, ["image_id", "split"]).select(*[c.split()[0] for c in FEATURES.split(", ")])
+    features = good.select(*[c.split()[0] for c in FEATURES.split(", ")])
     features.write.mode("overwrite").parquet(f"{out}/features")
-    errors = done.where("error is not null").select("image_id", "split", "error")
+    missed = table.join(done.select("orig_path"), "orig_path", "left_anti").select("image_id", "split", "orig_path", F.lit("not read").alias("error"))
+    errors = done.where("error is not null").select("image_id", "split", "orig_path", "error").unionByName(missed)
     failed = not errors.isEmpty()
     return {"status": 3 if failed else 0, "manifest": table, "counts": counts, "features": spark.read.parquet(f"{out}/features"), "layers": good.select(*[c.split()[0] for c in LAYERS.split(", ")]), "errors": errors, "duplicates": duplicates(table), "reference": reference}
 

@@ -1,4 +1,4 @@
-"""Image files as DataFrames, and synthetic images for tests."""
+"""Image files as DataFrames, and images as PNG files."""
 
 from __future__ import annotations
 
@@ -30,8 +30,8 @@ def discover(spark, root: str, params: Params = DEFAULT, content: bool = False)
     return found.select(S.stem(F.col("path")).alias("image_id"), F.col("path").alias("orig_path"), *kept)
 
 
-def decoded(spark, root: str) -> DataFrame:
-    """(orig_path, height, width, channels, data) by Spark's own reader, bytes in BGR order; what can't be decoded has height -1."""
+def decoded(spark, root: str | list[str]) -> DataFrame:
+    """Images below a folder, or of a list of files: (orig_path, height, width, channels, data) by Spark's own reader, bytes in BGR order; what can't be decoded has height -1."""
     images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root)
     return images.select(F.col("image.origin").alias("orig_path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
@@ -41,6 +41,12 @@ def file_info(files: DataFrame) -> DataFrame:
     return files.withColumn("info", F.format_string("%s %dx%d %s %.1f KB", "image_id", "width", "height", F.upper(F.replace(S.suffix(F.col("orig_path")), F.lit("."), F.lit(""))), F.col("length") / 1024))
 
 
+def channels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """An image with the channels that its file has: gray (one), RGB, or RGB with alpha."""
+    a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return a[..., 0] if channels == 1 else np.ascontiguousarray(a[..., [2, 1, 0, *range(3, channels)]])
+
+
 def rgb_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     return np.repeat(a, 3, axis=2) if channels == 1 else np.ascontiguousarray(a[..., 2::-1])
@@ -54,13 +60,3 @@ def png(image: np.ndarray) -> bytes:
     part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
     head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2 if a.ndim == 3 else 0, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
-
-
-def synthetic(side: int = 128, seed: int = 0) -> np.ndarray:
-    """A light field with a dark disc and a darker one inside it, with noise, as RGB."""
-    rng = np.random.RandomState(seed)
-    y, x = np.mgrid[:side, :side] - side // 2
-    bgr = np.full((side, side, 3), (180, 130, 200), np.int64)
-    bgr[y * y + x * x <= 30 * 30] = (100, 30, 110)
-    bgr[y * y + x * x <= 12 * 12] = (50, 10, 60)
-    return np.clip(bgr + rng.randint(-15, 15, bgr.shape), 0, 255).astype(np.uint8)[..., ::-1]

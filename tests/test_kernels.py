@@ -66,7 +66,12 @@ def test_regions_of_known_shapes():
     box[4:14, 5:25] = True
     (r,) = K.regions(box)
     assert r["area"] == 200 and r["solidity"] == 1.0 and r["perimeter"] == 56.0
-    assert r["eccentricity"] == pytest.approx(np.sqrt(1 - (10**2) / (20**2)), abs=1e-9)
+    assert r["eccentricity"] == pytest.approx(np.sqrt(1 - 99 / 399), abs=1e-9)  # variances of 10 and 20 places: 99/12 and 399/12
+    line, dot, ell = np.zeros((5, 9), bool), np.zeros((3, 3), bool), np.zeros((4, 4), bool)
+    line[2, 1:8] = dot[1, 1] = ell[1:3, 1] = ell[2, 2] = True
+    assert K.regions(line)[0]["eccentricity"] == 1 and K.regions(dot)[0]["eccentricity"] == 0
+    assert K.regions(ell)[0]["eccentricity"] == pytest.approx(np.sqrt(1 - 1 / 3))  # variances 2/9, covariance 1/9 by hand
+    assert K.regions(np.eye(6, dtype=bool))[0]["eccentricity"] == pytest.approx(1)
     assert all(np.isnan(x) for x in K.morphology(np.zeros((4, 4), bool)))
 
 
@@ -112,6 +117,8 @@ def test_split_sizes(spark):
     for n, sizes in want.items():
         held = [same[a] for a, b in rows if b == str(n)]
         assert tuple(map(held.count, ("train", "val", "test"))) == sizes
+    nested = S.by_parts([("r/Early/a-b/x.png", "Early"), ("r/Early/a/x.png", "Early"), ("r/Benign/z.png", "Benign")])
+    assert nested == [("r/Benign/z.png", "Benign"), ("r/Early/a/x.png", "Early"), ("r/Early/a-b/x.png", "Early")]
     golden = S.split_compatible([("Early-012", "Early"), ("Pro-002", "Pro"), ("Pro-003", "Pro")])
     assert golden == {"Early-012": "train", "Pro-002": "test", "Pro-003": "train"}
 

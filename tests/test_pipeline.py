@@ -1,24 +1,36 @@
 """End to end over files: scan, split, transform, sinks, incremental ingestion."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
-from pixelmill.functions.params import FEATURES
+from pixelmill.functions.params import DEFAULT, FEATURES
 from pixelmill.plans import pipeline
 from pixelmill.sources import images, sinks
 from pixelmill.streaming.ingest import ingest
 
 
+def synthetic(side=128, seed=0):
+    """A cell on a light field: an oval with a darker disc inside, and noise, as RGB."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:side, :side] - side // 2
+    rgb = np.full((side, side, 3), (214, 196, 171), np.int64)
+    rgb[y * y + x * x <= 30 * 30] = (131, 66, 122)
+    rgb[y * y + x * x <= 12 * 12] = (63, 21, 58)
+    return np.clip(rgb + rng.integers(-9, 10, rgb.shape), 0, 255).astype(np.uint8)
+
+
 @pytest.fixture(scope="module")
 def root(tmp_path_factory):
     top = tmp_path_factory.mktemp("raw")
     for k, name in enumerate(("Benign", "Early", "Pre", "Pro")):
         (top / name / "deep").mkdir(parents=True)
-        (top / name / f"{name}-1.png").write_bytes(images.png(images.synthetic(seed=k)))
-    (top / "Pro" / "deep" / "Pro-2.PNG").write_bytes(images.png(images.synthetic(seed=9)))
+        (top / name / f"{name}-1.png").write_bytes(images.png(synthetic(seed=k)))
+    (top / "Pro" / "deep" / "Pro-2.PNG").write_bytes(images.png(synthetic(seed=9)))
     (top / "Pro" / "note.txt").write_text("no image")
     (top / "pro").mkdir()
-    (top / "pro" / "x.png").write_bytes(images.png(images.synthetic()))
+    (top / "pro" / "x.png").write_bytes(images.png(synthetic()))
     return top
 
 
@@ -58,7 +70,7 @@ def test_failures_and_empty_input(spark, root, tmp_path):
     (tmp_path / "raw" / "Pre").mkdir(parents=True)
     (tmp_path / "raw" / "Benign").mkdir()
     (tmp_path / "raw" / "Pre" / "bad.png").write_bytes(b"no image at all")
-    (tmp_path / "raw" / "Benign" / "good.png").write_bytes(images.png(images.synthetic()))
+    (tmp_path / "raw" / "Benign" / "good.png").write_bytes(images.png(synthetic()))
     got = pipeline.run(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
     assert got["status"] == 3 and [r.image_id for r in got["errors"].collect()] == ["bad"] and got["features"].count() == 1
     (tmp_path / "none").mkdir()
@@ -69,6 +81,26 @@ def test_failures_and_empty_input(spark, root, tmp_path):
     assert [r.image_id for r in pipeline.duplicates(table).collect()] == ["a"]
 
 
+def test_equal_names_stay_apart(spark, tmp_path):
+    for k, name in enumerate(("Benign", "Early", "Pro")):
+        (tmp_path / "raw" / name).mkdir(parents=True)
+        (tmp_path / "raw" / name / "same.png").write_bytes(images.png(synthetic(64, k)))
+    (tmp_path / "raw" / "Early" / "gray.png").write_bytes(images.png(synthetic(64, 5)[..., 0]))
+    got = pipeline.run(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert sorted((r.image_id, r.class_name) for r in got["features"].collect()) == [("gray", "Early"), ("same", "Benign"), ("same", "Early"), ("same", "Pro")]
+    assert {r.image_id: r.n for r in got["duplicates"].collect()}.keys() <= {"same"} and got["status"] == 0
+    unchanged = {r.orig_path[-8:]: images.channels_of(r.data, r.height, r.width, r.channels).shape for r in images.decoded(spark, str(tmp_path / "raw")).collect()}
+    assert unchanged["gray.png"] == (64, 64) and unchanged["same.png"] == (64, 64, 3)
+
+
+def test_any_failure_is_one_images(spark, monkeypatch, tmp_path):
+    (tmp_path / "raw" / "Pro").mkdir(parents=True)
+    for k in range(2):
+        (tmp_path / "raw" / "Pro" / f"{k}.png").write_bytes(images.png(synthetic(64, k)))
+    got = pipeline.run(spark, str(tmp_path / "raw"), str(tmp_path / "out"), replace(DEFAULT, denoise="nope"))
+    assert got["status"] == 3 and sorted(r.error.split(":")[0] for r in got["errors"].collect()) == ["ValueError", "ValueError"]
+
+
 def test_streamed_files_are_taken_once(spark, root, tmp_path):
     for _ in range(2):
         ingest(spark, str(root), str(tmp_path / "table"), str(tmp_path / "check"))
@@ -76,5 +108,5 @@ def test_streamed_files_are_taken_once(spark, root, tmp_path):
 
 
 def test_diagnosis():
-    found = pipeline.diagnosed(images.synthetic(32))
+    found = pipeline.diagnosed(synthetic(32))
     assert set(found) == {"raw", "stain", "bilateral", "hds20", "hds200"} and found["bilateral"][1] <= found["raw"][1]
