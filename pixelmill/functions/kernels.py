@@ -63,8 +63,8 @@ def unit_range(a):
 
 
 def gray_of(rgb: np.ndarray) -> np.ndarray:
-    """8-bit gray, rounded."""
-    return np.floor(rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(np.uint8)
+    """8-bit gray, rounded; in whole numbers, so that halves round alike everywhere."""
+    return ((rgb.astype(np.int64) @ np.array([299, 587, 114]) + 500) // 1000).astype(np.uint8)
 
 
 # -- colour -----------------------------------------------------------------------

@@ -123,7 +123,8 @@ def bytes_of(v: Column) -> Column:
 
 
 def gray_of(r: Column, g: Column, b: Column) -> Column:
-    return F.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5).cast("int")
+    """8-bit gray, rounded; whole numbers until the division, so that halves round alike everywhere."""
+    return F.floor((299 * r + 587 * g + 114 * b + 500) / 1000).cast("int")
 
 
 def both(a: Column, b: Column, op) -> Column:

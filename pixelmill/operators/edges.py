@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pixelmill.functions import kernels as K
 
@@ -46,6 +47,30 @@ def jet(v):
     return (np.stack(c, -1) * 255).astype(np.uint8)
 
 
+# A public polynomial of degree six for each channel of the inferno map.
+INFERNO = (
+    (0.0002189403691192265, 0.1065134194856116, 11.60249308247187, -41.70399613139459, 77.162935699427, -71.31942824499214, 25.13112622477341),
+    (0.001651004631001012, 0.5639564367884091, -3.972853965665698, 17.43639888205313, -33.40235894210092, 32.62606426397723, -12.24266895238567),
+    (-0.01948089843709184, 3.932712388889277, -15.9423941062914, 44.35414519872813, -81.80730925738993, 73.20951985803202, -23.07032500287172),
+)
+
+
+def inferno(v):
+    """The inferno colour map of values in 0..1, as RGB bytes, by its polynomial."""
+    return (np.stack([np.clip(np.polyval(c[::-1], np.asarray(v, np.float64)), 0, 1) for c in INFERNO], -1) * 255).astype(np.uint8)
+
+
+def colour_map(v, name: str):
+    """Red, green and blue columns in 0..1 of a column in 0..1."""
+    if name == "gray":
+        return v, v, v
+    if name == "jet":
+        made = [1.5 - F.abs(4 * v - k) for k in (3, 2, 1)]
+    else:
+        made = [sum((F.lit(w) * F.pow(v, F.lit(float(p))) for p, w in enumerate(c)), F.lit(0.0)) for c in INFERNO]
+    return tuple(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)) for c in made)
+
+
 def edge_overlay(rgb, mask):
     """Cyan where the mask is set: red halved, green and blue halved and raised by 128."""
     out = rgb.astype(np.float64)

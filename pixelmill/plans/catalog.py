@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pixelmill.functions import kernels as K
 from pixelmill.functions.params import DEFAULT
 from pixelmill.operators import arrays as A
-from pixelmill.operators import edges as E
 from pixelmill.operators import reductions as R
 from pixelmill.operators import split as S
 from pixelmill.plans import oracle as Q
+from pixelmill.plans import tiles, tiles_oracle
 from pixelmill.sources.tables import FRAME, SIDE, colour_images, gray_images, pixels
 
 
@@ -255,32 +255,15 @@ def _small(i, g):
 
 
 def _regions(i, g):
-    return [(i, r["label"], r["area"], round(r["eccentricity"], 5) + 0.0) for r in K.regions(g <= K.otsu(g))]
-
-
-def _shape(i, g):
-    return [(i, r["label"], round(r["perimeter"], 6), round(r["solidity"], 6)) for r in K.regions(g <= K.otsu(g))]
+    return [(i, r["label"], r["area"], round(r["eccentricity"], 4) + 0.0) for r in K.regions(g <= K.otsu(g))]
 
 
 def rollup(spark, sf_dir):
-    found = queries()["region_moments"](spark, sf_dir).groupBy("image_id").agg(F.sum("area").alias("area"), rounded(F.avg("eccentricity"), 3).alias("eccentricity"), F.count("*").alias("n"))
+    found = queries()["region_moments"](spark, sf_dir).groupBy("image_id").agg(F.sum("area").alias("area"), rounded(F.avg("eccentricity") + 1e-9, 3).alias("eccentricity"), F.count("*").alias("n"))
     every = gray_images(spark, sf_dir).select("image_id")
     return every.join(found, "image_id", "left").select("image_id", "area", "eccentricity", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def _edges(method, dialect):
-    def one(i, g):
-        binary, response = E.detect_edges(g, method, dialect=dialect, min_size=4, close=1)
-        return [(i, int(binary.sum()), round(float(response.sum()), 5))]
-
-    return one
-
-
-def _features(i, g):
-    _, numbers = K.layers_and_features(np.repeat(g[..., None], 3, axis=2), DEFAULT)
-    return [(i, *[None if n != n else float(n) for n in numbers])]
-
-
 def flagship(spark, sf_dir):
     """Threshold, masks and texture of every image in one row."""
     masks = _masked(spark, sf_dir).select("image_id", "class_name", "threshold", _area("cell").alias("cell_area"), _area("nucleus").alias("nucleus_area"))
@@ -289,7 +272,6 @@ def flagship(spark, sf_dir):
 
 def queries():
     pixel = "image_id long, y int, x int"
-    edges = "image_id long, n long, response double"
     made = {
         "manifest_class_map": class_map,
         "path_stem_ext": stems,
@@ -338,13 +320,9 @@ def queries():
         "drop_small": _images(_small, pixel),
         "region_moments": _images(_regions, "image_id long, label long, area double, eccentricity double"),
         "morphology_rollup": rollup,
-        "perimeter_solidity": _images(_shape, "image_id long, label long, perimeter double, solidity double"),
-        "hds_full": _images(lambda i, g: [(i, round(float(K.hds(g / 255.0, *DEFAULT.hds).sum()), 4))], "image_id long, total double"),
-        "pipeline_features": _images(_features, "image_id long, " + ", ".join(f"f{k} double" for k in range(16))),
     }
     made |= {m: _pixelwise(lambda m=m: A.gradient(F.col("v"), FRAME, m)) for m in ("sobel", "prewitt", "roberts", "scharr")}
-    made |= {f"detect_edges_{d}_{m}": _images(_edges(m, d), edges) for d in ("strict", "lenient") for m in E.METHODS}
-    return made
+    return made | tiles.queries()
 
 
 def oracle_sql():
@@ -353,17 +331,16 @@ def oracle_sql():
     grad = {m: q(base, Q.gradient(m), select=Q.GRADIENT) for m in ("sobel", "prewitt", "roberts", "scharr")}
     lab = f"{base},\n{Q.COLOUR},\n{Q.lab_sql()}"
     stat = "st AS (SELECT image_id, " + ", ".join(f"{fn}({c}) AS {n}_{c}" for n, fn in (("mean", "avg"), ("std", "stddev_pop")) for c in "lab") + " FROM lab GROUP BY image_id)"
-    pool = Q.MANIFEST + ",\n" + Q.SPLIT + ",\npl AS (SELECT *, CASE WHEN class_name = 'Benign' AND split = 'train' THEN 1 WHEN class_name = 'Benign' THEN 2 WHEN split = 'train' THEN 3 ELSE 4 END AS pool FROM sp),\npo AS (SELECT * FROM pl WHERE pool = (SELECT min(pool) FROM pl))"
+    pool = Q.MANIFEST + ",\n" + Q.SPLIT + ",\n" + Q.POOL
     c3 = f"{base},\n{Q.COLOUR},\nmk AS (SELECT *, red > green AS m FROM c3)"
     ch = ("red", "green", "blue")
     shade = lambda e: "SELECT image_id, y, x, " + ", ".join(f"CASE WHEN m THEN CAST(floor({e(c)}) AS INT) ELSE CAST({c} AS INT) END AS {c}" for c in ch) + " FROM mk"
     moved = "SELECT image_id, y, x, " + ", ".join(f"round(least(255e0, greatest(0e0, ({c} - mean_{c}) / (std_{c} + 1e-8) * rs_{c} + rm_{c})), 4) + 0e0 AS {c}" for c in "lab") + " FROM lab JOIN st USING (image_id), (SELECT " + ", ".join(f"avg(mean_{c}) AS rm_{c}, avg(std_{c}) AS rs_{c}" for c in "lab") + " FROM st)"
     stats6 = [f"{n}_{c}" for n in ("mean", "std") for c in "lab"]
-    central = "cd AS (SELECT *, CASE WHEN x BETWEEN 1 AND 6 THEN (lead(v) OVER r - lag(v) OVER r) / 2 ELSE 0e0 END AS gx, CASE WHEN y BETWEEN 1 AND 6 THEN (lead(v) OVER c - lag(v) OVER c) / 2 ELSE 0e0 END AS gy FROM nm WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y))"
     apc = lambda s, e: q(base, Q.hessian(s), Q.unit("ap", "ei", e), select=f("ap", digits=5))
     labelled = lambda near: q(mask, Q.COMPONENTS.format(near=near), select="SELECT image_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label FROM root")
     eight, four = "<= 1 AND", "+"
-    moments = "mo AS (SELECT image_id, root, CAST(count(*) AS DOUBLE) AS area, var_pop(i // 8) + 1e0 / 12 AS a, var_pop(i % 8) + 1e0 / 12 AS c, covar_pop(i // 8, i % 8) AS b FROM root GROUP BY ALL),\nrg AS (SELECT image_id, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label, area, sqrt(greatest(0e0, 1 - ((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b)) / ((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)))) AS e FROM mo)"
+    moments = "mo AS (SELECT image_id, root, CAST(count(*) AS DOUBLE) AS area, var_pop(i // 8) AS a, var_pop(i % 8) AS c, covar_pop(i // 8, i % 8) AS b FROM root GROUP BY ALL),\nrg AS (SELECT image_id, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS label, area, " + Q.ECCENTRICITY + " AS e FROM mo)"
     regions = (mask, Q.COMPONENTS.format(near=eight), moments)
     return {
         "manifest_class_map": q(Q.MANIFEST, select="SELECT *, CASE class_name WHEN 'Benign' THEN 0 ELSE 1 END AS class_id_binary, CASE class_name WHEN 'Benign' THEN 0 WHEN 'Early' THEN 1 WHEN 'Pre' THEN 2 ELSE 3 END AS class_id_4way FROM mf"),
@@ -374,7 +351,7 @@ def oracle_sql():
         "stain_reference": q(lab, stat, pool, "ch AS (SELECT image_id FROM po ORDER BY md5('42:' || CAST(image_id AS VARCHAR)), image_id LIMIT 20)", select="SELECT " + ", ".join(f"round(avg({c}), 4) + 0e0 AS {c}" for c in stats6) + ", count(*) AS n FROM st JOIN ch USING (image_id)"),
         "lab_stats": q(lab, stat, select="SELECT image_id, " + ", ".join(f"round({c}, 4) + 0e0 AS {c}" for c in stats6) + " FROM st"),
         "reinhard_normalize": q(lab, stat, select=moved),
-        "gray_convert": q(base, Q.COLOUR, select="SELECT image_id, y, x, CAST(floor(0.299e0 * red + 0.587e0 * green + 0.114e0 * blue + 0.5e0) AS INT) AS value FROM c3"),
+        "gray_convert": q(base, Q.COLOUR, select="SELECT image_id, y, x, CAST(floor((299 * red + 587 * green + 114 * blue + 500) / 1000) AS INT) AS value FROM c3"),
         "channel_stats": q(base, Q.COLOUR, select="SELECT image_id, " + ", ".join(f"round({fn}({c}), 6) + 0e0 AS {n}_{k}" for n, fn in (("mean", "avg"), ("std", "stddev_pop")) for c, k in zip(ch, "RGB", strict=True)) + " FROM c3 GROUP BY image_id"),
         "minmax_norm": q(base, select=f("nm")),
         "quantize_u8": q(base, select="SELECT image_id, y, x, g AS value FROM gr"),
@@ -383,10 +360,10 @@ def oracle_sql():
         "cell_mask_area": q(mask, select="SELECT image_id, count(*) FILTER (v) AS area FROM ce GROUP BY image_id"),
         "nucleus_mask_area": q(mask, select="SELECT image_id, count(*) FILTER (v) AS area FROM nu GROUP BY image_id"),
         "nc_ratio": q(mask, select="SELECT image_id, round(CAST(count(*) FILTER (nu.v) AS DOUBLE) / nullif(count(*) FILTER (ce.v), 0), 6) AS nc_ratio FROM nu JOIN ce USING (image_id, y, x) GROUP BY image_id"),
-        "central_diff": q(base, central, select=f("cd", "sqrt(gx * gx + gy * gy)")),
-        "laplacian": q(base, Q.stencil("lp", "nm", "v", A.LAPLACE), select=f("lp")),
+        "central_diff": q(base, Q.central(), select=f("cd", "sqrt(gx * gx + gy * gy)")),
+        "laplacian": q(base, Q.stencil("lp", "nm", "v", Q.LAPLACE), select=f("lp")),
         "gaussian_blur": q(base, Q.gaussian("gs", "nm", "v", 2.5), select=f("gs")),
-        "log_response": q(base, Q.gaussian("gs", "nm", "v", 4.0), Q.stencil("lp", "gs", "v", A.LAPLACE), Q.unit("lo", "lp", "abs(v)"), select=f("lo", digits=4)),
+        "log_response": q(base, Q.gaussian("gs", "nm", "v", 4.0), Q.stencil("lp", "gs", "v", Q.LAPLACE), Q.unit("lo", "lp", "abs(v)"), select=f("lo", digits=4)),
         "hessian_eig": q(base, Q.hessian(1.0), select="SELECT image_id, y, x, round(l1, 6) + 0e0 AS l1, round(l2, 6) + 0e0 AS l2 FROM ei"),
         "apc_response": apc(2.5, "0.6e0 * abs(l2) + 0.4e0 * abs(l1)"),
         "apc_response_lenient": apc(1.0, "abs(l1) + 0.5e0 * abs(l2)"),
@@ -404,14 +381,15 @@ def oracle_sql():
         "enhance_gain": q(c3, select=shade(lambda c: f"least(255e0, {c} * 1.5e0)")),
         "enhance_stretch": q(c3, "bd AS (SELECT *, " + ", ".join(f"min({c}) FILTER (m) OVER w AS lo_{c}, max({c}) FILTER (m) OVER w AS hi_{c}" for c in ch) + " FROM mk WINDOW w AS (PARTITION BY image_id))", select="SELECT image_id, y, x, " + ", ".join(f"CASE WHEN m AND hi_{c} > lo_{c} THEN CAST(floor(255 * ({c} - lo_{c}) / (hi_{c} - lo_{c})) AS INT) ELSE CAST({c} AS INT) END AS {c}" for c in ch) + " FROM bd"),
         "edge_map": q(base, Q.gradient("sobel"), select="SELECT image_id, y, x, CASE WHEN round(sqrt((ga.v * ga.v + gb.v * gb.v) / 2), 9) > 0.3e0 THEN 255 ELSE 0 END AS value FROM ga JOIN gb USING (image_id, y, x)"),
-        "abs_diff_gain": q(base, Q.stencil("bx", "gr", "g", [(a, b, 0.125) for a in (0, 1) for b in (0, 1, -1, 0)]), select="SELECT image_id, y, x, CAST(floor(least(255e0, 5 * abs(g - round(bx.v, 6)))) AS INT) AS value FROM gr JOIN bx USING (image_id, y, x)"),
+        "abs_diff_gain": q(base, Q.stencil("bx", "gr", "g", "VALUES (0, 0, 0.25e0), (0, 1, 0.125e0), (0, -1, 0.125e0), (1, 0, 0.25e0), (1, 1, 0.125e0), (1, -1, 0.125e0)"), select="SELECT image_id, y, x, CAST(floor(least(255e0, 5 * abs(g - round(bx.v, 6)))) AS INT) AS value FROM gr JOIN bx USING (image_id, y, x)"),
         "crop_window": q(base, select="SELECT image_id, y, x, g AS value FROM gr WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5"),
         "otsu_lineitem": q("li AS (SELECT l_returnflag, CAST(l_quantity AS INT) AS g FROM lineitem)", Q.OTSU.format(name="ot", key="l_returnflag", level="g", src="li"), select="SELECT * FROM ot"),
         "glcm_lineitem": q("li AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS INT) AS g FROM lineitem GROUP BY ALL)", "pr AS (SELECT g AS i, lead(g) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS j FROM li)", "gl AS (SELECT 0 AS k, i, j, CAST(count(*) AS DOUBLE) / sum(CAST(count(*) AS DOUBLE)) OVER () AS p FROM (SELECT i, j FROM pr WHERE j IS NOT NULL UNION ALL SELECT j, i FROM pr WHERE j IS NOT NULL) GROUP BY i, j)", select="SELECT * EXCLUDE (k) FROM (" + Q.TEXTURE.format(key="k", src="gl") + ")"),
         "components": labelled(eight),
         "components_4": labelled(four),
         "drop_small": q(mask, Q.COMPONENTS.format(near=four), select="SELECT image_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x FROM (SELECT *, count(*) OVER (PARTITION BY image_id, root) AS n FROM root) WHERE n > 3"),
-        "region_moments": q(*regions, select="SELECT image_id, label, area, round(e, 5) + 0e0 AS eccentricity FROM rg"),
-        "morphology_rollup": q(*regions, select="SELECT vec_id AS image_id, sum(area) AS area, round(avg(round(e, 5)), 3) + 0e0 AS eccentricity, count(area) AS n FROM embeddings LEFT JOIN rg ON vec_id = image_id GROUP BY vec_id"),
+        "region_moments": q(*regions, select="SELECT image_id, label, area, round(e, 4) + 0e0 AS eccentricity FROM rg"),
+        "morphology_rollup": q(*regions, select="SELECT vec_id AS image_id, sum(area) AS area, round(avg(round(e, 4)) + 1e-9, 3) + 0e0 AS eccentricity, count(area) AS n FROM embeddings LEFT JOIN rg ON vec_id = image_id GROUP BY vec_id"),
         **grad,
+        **tiles_oracle.oracle_sql(),
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions.kernels import unit_range
 from pixelmill.functions.params import LAYERS
-from pixelmill.operators.edges import jet
+from pixelmill.operators.edges import inferno
 from pixelmill.sources.images import png
 
 NAMES = ("rgb", "apc", "log", "canny", "nucleus_mask", "cell_mask")
@@ -88,7 +88,7 @@ def layer_pictures(layers: DataFrame) -> DataFrame:
         found = arrays_of(row)
         for k, n in enumerate(NAMES, 1):
             a = found[n]
-            yield f"{row['split']}/{row['image_id']}_{k}_{n.split('_')[0]}.png", png(jet(unit_range(a)) if a.dtype == np.float32 else a)
+            yield f"{row['split']}/{row['image_id']}_{k}_{n.split('_')[0]}.png", png(inferno(unit_range(a)) if a.dtype == np.float32 else a)
 
     return _named(layers, make)
 
@@ -99,7 +99,7 @@ def previews(layers: DataFrame) -> DataFrame:
     def make(row):
         shown = []
         for a in arrays_of(row).values():
-            a = jet(unit_range(a)) if a.dtype == np.float32 else np.where(a, 255, 0).astype(np.uint8) if a.dtype == bool else a
+            a = inferno(unit_range(a)) if a.dtype == np.float32 else np.where(a, 255, 0).astype(np.uint8) if a.dtype == bool else a
             shown.append(a if a.ndim == 3 else np.repeat(a[..., None], 3, axis=2))
         return [(f"{row['split']}/{row['image_id']}.png", png(np.concatenate(shown, axis=1)))]
 

@@ -8,7 +8,7 @@ import pytest
 from pixelmill.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("embeddings", "pages", "documents", "lineitem")
+TABLES = ("embeddings", "pages", "documents", "lineitem", "part")
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +43,9 @@ def test_plans_push_down_and_stay_out_of_python(spark):
     plan = lambda n: catalog.queries()[n](spark, DIR)._jdf.queryExecution().toString()
     assert "Exchange" not in plan("gaussian_blur").split("Physical Plan")[1] and "Python" not in plan("apc_response")
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan("otsu_lineitem")
+
+
+def test_features_are_of_real_regions(spark):
+    rows = catalog.queries()["pipeline_features"](spark, DIR)
+    for name in rows.columns:
+        assert rows.where(f"{name} is not null").count() > 100, name
