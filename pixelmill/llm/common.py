@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -74,6 +75,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def worker_store() -> dict:
     """A dictionary that lives as long as this Python process."""
     name = "_pixelmill_worker_store"
