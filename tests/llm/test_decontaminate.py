@@ -74,3 +74,17 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], ITEMS)
     assert [tuple(r)[:4] for r in decontaminate(docs, items).collect()] == [(1, 2, 0, 0)]
     assert decontaminate(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_long_words_are_compared_whole(spark):
+    """Words that differ only in their middle, in blocks that a polynomial hash of the bytes can't tell apart, aren't each other."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    long = ["q" * 8 + x + "z" * 8 for x in (one, two)]
+    items = [(1, long[0], "x"), (2, "é" * 30_000, "x")]
+    docs = [(1, long[0], "y"), (2, long[1], "y"), (3, long[0].upper(), "y"), (4, "é" * 30_000, "y"), (5, "é" * 29_999, "y"), (6, "w " * 100_000 + long[0], "y")]
+    found = decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found} == brute(docs, items)
+    assert [r.n_hit for r in sorted(found, key=lambda r: r.doc_id)] == [1, 0, 1, 1, 0, 1]

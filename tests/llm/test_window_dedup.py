@@ -109,3 +109,14 @@ def test_deep_shallow_sorts_suffixes():
         assert mine == sorted(mine)
     for i in range(1, 3600):
         assert (place[i] == place[i - 1]) == (keys[i] == keys[i - 1])
+
+
+def test_long_texts_shared_ids_and_ties(spark):
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(40_000))
+    rows = [(None, long, "en", "c", 1), (None, long[:90_000], "en", "c", 1), (5, "x " + long[100_000:], "en", "c", 1), (5, "other words " * 3, "en", "c", 1)]
+    got = suffix_dedup(spark.createDataFrame(rows, SCHEMA), 200, 4, 64).collect()
+    size = {len(t): len(t) for _, t, *_ in rows}
+    assert {r.n_bytes: r.n_bytes - r.n_removed for r in got} == {len(long): 10_000, 90_000: 0, len(long) - 99_998: 2, 36: 36} and len(got) == len(size)
+    words = substring_dedup(spark.createDataFrame(rows, SCHEMA), 13, 4, 64).collect()
+    assert sum(r.n_words for r in words) == sum(len(t.split()) for _, t, *_ in rows)
+    assert all(r.n_removed == 0 for r in words if r.doc_id == 5) and any(r.n_removed > 20_000 for r in words if r.doc_id is None)
