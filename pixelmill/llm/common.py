@@ -147,6 +147,7 @@ def by_bytes(batches, column: str, most: int):
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next stage shouldn't hold on to it
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
