@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = 8 << 20
+BATCH = 4 << 20
 NO_ID = (1 << 63) - 1  # stands for a null id inside the operators; sorts last
 
 
@@ -147,7 +148,17 @@ def by_bytes(batches, column: str, most: int):
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # a worker that waits for its next stage shouldn't hold on to it
+        release()
+
+
+def release() -> None:
+    """Give memory that this worker has let go of back to the machine, so that it isn't held between slices and stages."""
+    pa.default_memory_pool().release_unused()
+    store = worker_store()
+    if "trim" not in store:
+        store["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if store["trim"]:
+        store["trim"](0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import bounded, by_bytes, filtered, mixed, string_parts
 from pixelmill.llm.substring_dedup import joined_words, word_hashes, words_of
 
-SLICE = 4 << 20
-ROWS = 2048  # texts whose features are held at a time
+SLICE = 1 << 20  # of text, whose words take some fifty times as much while they are hashed
+ROWS = 512  # texts whose features are held at a time
 BUCKETS = 512  # hashed shares of words and word pairs
 LEXICAL = 0.1  # weight of a share beside a surface measure, each scaled to its own spread
 RUN = re.compile(r"([!#$%&*|.?=~_^-])\1+")
