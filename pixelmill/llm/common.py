@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = 4 << 20
+BLOCK = 1 << 14  # numbers of a sum that travel in one row
 NO_ID = (1 << 63) - 1  # stands for a null id inside the operators; sorts last
 
 
@@ -161,6 +162,31 @@ def release() -> None:
         store["trim"](0)
 
 
+def in_blocks(part: int, values: np.ndarray):
+    """``values`` of one task as the rows (k, part, v) that ``summed`` adds up."""
+    for k in range(0, len(values), BLOCK):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part], pa.int64()), pa.array([values[k : k + BLOCK].tobytes()], pa.binary())], names=["k", "part", "v"])
+
+
+def summed(parts: DataFrame, dtype) -> np.ndarray:
+    """The sum of what tasks sent by ``in_blocks``, added block by block in the order of ``part``; only the sum reaches the driver."""
+    wide = np.int64 if np.issubdtype(dtype, np.integer) else np.float64
+
+    def run(batches):
+        at, total = None, None
+        for batch in batches:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if k != at and total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+                found = np.frombuffer(v, dtype).astype(wide)
+                at, total = k, found if k != at else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["k", "v"])
+
+    rows = bounded(parts).repartition("k").sortWithinPartitions("k", "part").mapInArrow(run, "k long, v binary").collect()
+    return np.frombuffer(b"".join(r.v for r in sorted(rows, key=lambda r: r.k)), wide)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (the finaliser of the public SplitMix64 generator)."""
     x = x ^ (x >> np.uint64(30))

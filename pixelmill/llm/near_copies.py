@@ -6,8 +6,9 @@ filter and the Hamming check. A bit budget can't stand for the rule alone (near
 differ in a dozen bits and more, where unrelated texts begin to meet), so a prefix
 filter gives the rest, and with it no link is lost: with any one order of all shingles,
 two linked sets share a shingle among the first n - ceil(4n/5) + 1 of each. Shingles
-that are frequent in a sample come last; the sample only decides how many candidates
-there are. Every candidate, wherever it comes from, is judged by its whole sets, unless
+that are frequent come last: those of all texts are counted in BINS bins by their hash,
+and the fuller bin comes later; the counts only decide how many candidates there are.
+Every candidate, wherever it comes from, is judged by its whole sets, unless
 a bound says before that they can't link: with the shingles counted in classes by their
 hash, two sets share no more than the lesser counts add up to. CLASSES classes settle
 most pairs; those that are left are settled by a class for every other shingle. Inside
@@ -31,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import bounded, by_bytes, cut, drop_cut, mixed, partitions, release, tidy, with_id
+from pixelmill.llm.common import bounded, by_bytes, cut, drop_cut, in_blocks, mixed, partitions, release, summed, tidy, with_id
 from pixelmill.llm.components import components
 from pixelmill.llm.simhash import SEED, links, majority, rows_of
 
 LEAST = 4, 5  # the similarity from which texts link, as a fraction
-SAMPLE, COMMON = 4096, 100_000  # texts of which frequent shingles are counted, and how many of these are known
+BINS = 1 << 20  # bins that the shingles of all texts are counted in
+MOST_COUNT = (1 << 32) - 1
+SAMPLE = None  # texts that are counted, for tests of other orders; None for all
 SMALL, LEADERS = 8, 4  # nodes up to which a bucket sends all pairs at once; leaders of a larger one
 BLOCK = 1 << 18  # rows that a bucket step sends at a time
 SLICE = 1 << 20
@@ -59,34 +62,34 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least) -> np.ndarray:
+def _bin(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(BINS - 1)).astype(np.int64)
+
+
+def _prefix(found: np.ndarray, common: np.ndarray, least) -> np.ndarray:
     """The shingles of a set that a linked set must share one of, in the order of all shingles."""
     p, q = least
-    values, rank = common
     if not len(found):
         return found
-    order = np.zeros(len(found), np.int64)
-    if len(values):
-        at = np.minimum(np.searchsorted(values, found), len(values) - 1)
-        order = np.where(values[at] == found, rank[at], 0)
-    return found[np.lexsort((found, order))][: len(found) - -(-p * len(found) // q) + 1]
+    return found[np.lexsort((found, common[_bin(found)]))][: len(found) - -(-p * len(found) // q) + 1]
 
 
-def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several texts of the sample, sorted, and in how many they are."""
+def _common(docs: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all texts are in each bin."""
 
     def run(batches):
+        total = np.zeros(BINS, np.int64)
         for batch in by_bytes(batches, "text", SLICE):
-            for t in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles((t or "").encode(), size).view(np.int64))], names=["h"])
-
-    texts = bounded(docs).select(F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    chosen = texts.select("t").distinct().orderBy("t").limit(SAMPLE)  # only hashes are sorted
-    sample = texts.join(F.broadcast(chosen), "t").groupBy("t").agg(F.min("text").alias("text")).select("text")
-    rows = sample.repartition(partitions(docs.sparkSession)).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    values, counts = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(values)
-    return values[order], counts[order]
+            found = [shingles((t or "").encode(), size) for t in batch.column("text").to_pylist()]
+            total += np.bincount(_bin(np.concatenate(found)), minlength=BINS)
+        if total.any():
+            yield from in_blocks(0, np.minimum(total, MOST_COUNT).astype(np.uint32))
+
+    texts = bounded(docs).select(F.col("text").cast("string").alias("text"))
+    if SAMPLE is not None:
+        texts = texts.limit(SAMPLE)
+    total = summed(texts.mapInArrow(run, "k long, part long, v binary"), np.uint32)
+    return np.minimum(total, MOST_COUNT).astype(np.uint32) if len(total) else np.zeros(BINS, np.uint32)
 
 
 def _counts(found: np.ndarray, classes: int) -> bytes:

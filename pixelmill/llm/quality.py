@@ -8,8 +8,12 @@ weights minimise the logistic loss on feature differences. The threshold is a qu
 of the scores of the labelled rows, the one that separates them best; a score is the
 logistic of a document's distance from it.
 
-The fit uses at most ``sample`` labelled documents of each class, the first by a hash
-of doc_id; that bound is what reaches the driver.
+Scale, weights and threshold come from every labelled row outside the held-out third.
+Their features are written once, dealt by a hash of doc_id into groups of about GROUP
+rows, and all pairs of a group are preferences. Each round of Newton's method is one
+pass over the groups, whose slopes and curvatures are summed by the executors; what
+reaches the driver is as large as the model, whatever the number of labels. Where a
+class is too rare for FEW of its rows a group, each of them is dealt to several groups.
 
 Defined cases: null and empty texts have all features zero and get a score like any
 other; a null doc_id is never a labelled row and isn't held out; labels other than 0
@@ -25,15 +29,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import bounded, by_bytes, filtered, mixed, string_parts
+from pixelmill.llm.common import bounded, by_bytes, cut, drop_cut, filtered, in_blocks, mixed, partitions, release, string_parts, summed, tidy
 from pixelmill.llm.substring_dedup import joined_words, word_hashes, words_of
 
 SLICE = 1 << 20  # of text, whose words take some fifty times as much while they are hashed
 ROWS = 512  # texts whose features are held at a time
 BUCKETS = 512  # hashed shares of words and word pairs
+WIDE = 20 + BUCKETS  # numbers of a row: surface measures, then shares
+GROUP, FEW = 1024, 32  # labelled rows that are compared with each other; the least of the rarer class among them
+GROUPS = 8  # groups of a task, which sends one sum
+MOST_BROADCAST = 1_000_000  # labels sent to all workers, 12 bytes each; for more of them texts are joined by a shuffle
 LEXICAL = 0.1  # weight of a share beside a surface measure, each scaled to its own spread
 RUN = re.compile(r"([!#$%&*|.?=~_^-])\1+")
 NAMES = ("length", "word", "long_words", "upper", "title", "punctuation", "symbols", "digits", "bars", "exclaims", "runs", "distinct", "most_common", "repeats", "line", "line_repeats", "unclosed", "sentence", "letters", "white")
@@ -112,59 +120,66 @@ def scored(batch, model: dict) -> np.ndarray:
     return np.concatenate(parts).astype(float) - model["threshold"]
 
 
-def pairs(good: int, bad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Preference pairs by number: each row of the larger class meets eight of the other."""
-    n = 8 * max(good, bad)
-    return np.resize(np.arange(good), n)[np.random.default_rng(0).permutation(n)], np.resize(np.arange(bad), n)
-
-
-def fit_pairs(good: np.ndarray, bad: np.ndarray, ridge: float = 1e-3, rounds: int = 30):
-    """Weights of the Bradley-Terry model, by Newton's method with conjugate gradients.
+def fit_pairs(groups: DataFrame, model: dict, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """Weights of the Bradley-Terry model over all pairs of each of ``groups``, by Newton's method.
 
     The loss is the mean over pairs of log(1 + exp(-difference of scores)), plus half
-    the ridge times the square of the weights. No matrix of pairs is made.
+    the ridge times the square of the weights. A step that doesn't lower it is halved.
     """
-    i, j = pairs(len(good), len(bad))
-    n = len(i)
+    upper = np.triu_indices(WIDE)
 
-    def back(t):  # what the pairs' terms add up to for each weight
-        return np.bincount(i, t, len(good)) @ good - np.bincount(j, t, len(bad)) @ bad
+    def terms(good, bad, w):  # number of pairs, loss, slope and curvature of a group
+        apart = (good @ w)[:, None] - bad @ w
+        p = 1 / (1 + np.exp(np.clip(apart, -40, 40)))
+        one, two, curve = good.astype(np.float32), bad.astype(np.float32), (p * (1 - p)).astype(np.float32)
+        cross = one.T @ (curve @ two)
+        bend = one.T @ (one * curve.sum(axis=1)[:, None]) + two.T @ (two * curve.sum(axis=0)[:, None]) - cross - cross.T
+        return np.concatenate([[p.size, np.logaddexp(0, -apart).sum()], p.sum(axis=1) @ good - p.sum(axis=0) @ bad, bend[upper]])
 
-    def loss(w):
-        return np.logaddexp(0, -((good @ w)[i] - (bad @ w)[j])).mean() + ridge / 2 * (w @ w)
+    def over(w):
+        return _over_groups(groups, lambda good, bad: terms(scaled(good, model).astype(float), scaled(bad, model).astype(float), w))
 
-    w = np.zeros(good.shape[1])
+    w, step, share, last = np.zeros(WIDE), np.zeros(WIDE), 1.0, np.inf
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip((good @ w)[i] - (bad @ w)[j], -40, 40)))
-        slope = back(p) / n - ridge * w
-        curve = p * (1 - p)
-        step, r = np.zeros_like(w), slope.copy()
-        way, size = r.copy(), r @ r
-        for _ in range(100):
-            if size < 1e-12 * max(slope @ slope, 1e-18):
-                break
-            turned = back(curve * ((good @ way)[i] - (bad @ way)[j])) / n + ridge * way
-            a = size / (way @ turned)
-            step, r = step + a * way, r - a * turned
-            way, size = r + (r @ r) / size * way, r @ r
-        share, now = 1.0, loss(w)
-        while share > 1e-4 and loss(w + share * step) > now:
+        found = over(w + share * step)
+        n, now = found[0], found[1] / found[0] + ridge / 2 * np.sum((w + share * step) ** 2)
+        if now > last and share > 1e-4:
             share /= 2
-        w = w + share * step
-        if np.abs(step).max() < 1e-6:
-            break
+            continue
+        w, last, share = w + share * step, now, 1.0
+        curve = np.zeros((WIDE, WIDE))
+        curve[upper] = found[2 + WIDE :] / n
+        curve = curve + np.triu(curve, 1).T + ridge * np.eye(WIDE)
+        step = np.linalg.solve(curve, found[2 : 2 + WIDE] / n - ridge * w)
+        if np.abs(step).max() < 1e-5:
+            return w + step
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> dict:
-    """Scale, weights and threshold from labelled rows outside the held-out third."""
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    named = named.where("doc_id is not null and quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    named = named.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").select("doc_id", "quality")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = [r for q in (0, 1) for r in named.where(F.col("quality") == q).orderBy(*order).limit(sample).collect()]
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in chosen], "doc_id long, quality int")
-    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
+def _over_groups(groups: DataFrame, body) -> np.ndarray:
+    """The sum over ``groups`` of what ``body`` makes of the rows of each, those labelled 1 and those labelled 0."""
+
+    def run(batches):
+        part, total = None, None
+        for batch in batches:
+            for g, good, bad in zip(*(batch.column(n).to_pylist() for n in ("g", "good", "bad")), strict=True):
+                found = body(*(np.frombuffer(x, np.float32).reshape(-1, WIDE) for x in (good, bad)))
+                part, total = (g, found) if total is None else (min(part, g), total + found)
+            release()
+        if total is not None:
+            yield from in_blocks(part, total)
+
+    return summed(groups.mapInArrow(run, "k long, part long, v binary"), np.float64)
+
+
+def _groups(docs: DataFrame, named: DataFrame) -> tuple[DataFrame | None, np.ndarray]:
+    """(g, good, bad): the features of all labelled rows (named: doc_id, quality) by group; and how often a row of each label is in it."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    counts = {r.quality: r["count"] for r in named.join(known, "doc_id", "left_semi").groupBy("quality").count().collect()}
+    if len(counts) < 2:
+        return None, np.zeros(2)
+    many = -(-sum(counts.values()) // GROUP)
+    copies = [min(many, max(1, -(-FEW * many // counts[q]))) for q in (0, 1)]
 
     def run(batches):
         for batch in by_bytes(batches, "text", SLICE):
@@ -173,20 +188,84 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> dict:
                 found = [x.tobytes() for x in features(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(found, pa.binary())], names=["doc_id", "quality", "x"])
 
-    rows = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").collect()
-    wide = len(NAMES) + BUCKETS
-    x, y = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, wide), np.array([r.quality for r in rows])
-    if not len(y) or y.min() == y.max():
-        return {"centre": np.zeros(wide, np.float32), "spread": np.ones(wide, np.float32), "weights": np.zeros(wide, np.float32), "threshold": 0.0}
-    model = {"centre": x.mean(axis=0), "spread": x.std(axis=0) + np.float32(1e-6)}
-    z = scaled(x, model)
-    w = fit_pairs(z[y == 1], z[y == 0]).astype(np.float32)
-    score = z @ w
-    order = np.argsort(score, kind="stable")
-    right = np.cumsum(y[order] == 0) / (y == 0).sum() - np.cumsum(y[order] == 1) / (y == 1).sum()
-    share = (int(np.argmax(right)) + 1) / len(score)  # the quantile below which rows are rejected
-    below, above = np.quantile(score, share, method="lower"), np.quantile(score, share, method="higher")
-    return model | {"weights": w, "threshold": float(below + above) / 2}
+    def packed(g, found):
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), *(pa.array([b"".join(found[q])], pa.binary()) for q in (1, 0))], names=["g", "good", "bad"])
+
+    def pack(batches):
+        at, found = None, ([], [])
+        for batch in batches:
+            for g, q, x in zip(*(batch.column(n).to_pylist() for n in ("g", "quality", "x")), strict=True):
+                if g != at:
+                    if at is not None:
+                        yield packed(at, found)
+                    at, found = g, ([], [])
+                found[q].append(x)
+        if at is not None:
+            yield packed(at, found)
+
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_learnt())
+    named = F.broadcast(named) if sum(counts.values()) <= MOST_BROADCAST else named.hint("merge")
+    rows = texts.join(named, "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    turns = F.when(F.col("quality") == 1, F.sequence(F.lit(0), F.lit(copies[1] - 1))).otherwise(F.sequence(F.lit(0), F.lit(copies[0] - 1)))
+    dealt = rows.select("*", F.explode(turns).alias("turn")).select(F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(many)) + F.col("turn"), F.lit(many)).alias("g"), "doc_id", "quality", "x")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g", "doc_id").select("g", "quality", "x")
+    groups = cut(dealt.mapInArrow(pack, "g long, good binary, bad binary"))
+    fewer = groups.coalesce(-(-many // GROUPS))
+    fewer._written_at = groups._written_at
+    return fewer, np.array(copies)
+
+
+def _learnt():
+    """Whether a doc_id is outside the held-out third; not for null."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+
+
+def _threshold(groups: DataFrame, model: dict) -> float:
+    """The middle between the score that separates the labels best, as the last to be rejected, and the next one."""
+
+    def run(batches):
+        for batch in batches:
+            for name, q in (("good", 1), ("bad", 0)):
+                for x in batch.column(name).to_pylist():
+                    s = (scaled(np.frombuffer(x, np.float32).reshape(-1, WIDE), model) @ model["weights"]).astype(float)
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), q)), pa.array(np.full(len(s), 1 - q))], names=["score", "good", "bad"])
+
+    each = cut(groups.mapInArrow(run, "score double, good long, bad long").groupBy("score").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("bin", F.floor(F.col("score") * 1024)))
+    bins = each.groupBy("bin").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    whole = bins.agg(F.sum("g").alias("g"), F.sum("b").alias("b")).first()
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # of as many rows as bins, however many scores
+    bins = bins.select("bin", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in "gb"])
+    within = Window.partitionBy("bin").orderBy("score")
+    good, bad = (F.col(x) + F.sum(y).over(within) for x, y in (("g", "good"), ("b", "bad")))
+    right = (bad / whole.b - good / whole.g).alias("right")
+    last = each.join(bins, "bin").select("score", right).orderBy(F.desc("right"), "score").first().score
+    after = each.where(F.col("score") > last).agg(F.min("score").alias("s")).first().s
+    drop_cut(each)
+    return (last + (last if after is None else after)) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """Scale, weights and threshold from all labelled rows outside the held-out third."""
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    named = named.where("doc_id is not null and quality in (0, 1)").where(_learnt())
+    named = named.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").select("doc_id", "quality")
+    groups, copies = _groups(docs, named)
+    if groups is None:
+        return {"centre": np.zeros(WIDE, np.float32), "spread": np.ones(WIDE, np.float32), "weights": np.zeros(WIDE, np.float32), "threshold": 0.0}
+
+    def moments(good, bad):
+        both = [(x.astype(float), 1 / n) for x, n in ((bad, copies[0]), (good, copies[1]))]
+        return sum(np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]) * share for x, share in both)
+
+    found = _over_groups(groups, moments)
+    centre = found[1 : 1 + WIDE] / found[0]
+    spread = np.sqrt(np.maximum(found[1 + WIDE :] / found[0] - centre**2, 0))
+    model = {"centre": centre.astype(np.float32), "spread": (spread + 1e-6).astype(np.float32)}
+    model["weights"] = fit_pairs(groups, model).astype(np.float32)
+    model["threshold"] = _threshold(groups, model)
+    drop_cut(groups)
+    tidy(docs.sparkSession)
+    return model
 
 
 def score_with(docs: DataFrame, model: dict) -> DataFrame:
@@ -202,8 +281,8 @@ def score_with(docs: DataFrame, model: dict) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
-    return score_with(docs, fit(docs, labels, sample))
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return score_with(docs, fit(docs, labels))
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
