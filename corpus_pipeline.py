@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``. A stage begins by having driver and executors give
+back the memory of the one before, which would add to its own.
 
 Defined cases: columns of any other name are kept as they are. Each row is judged by its
 own text, so rows that share a doc_id or have none are told apart; equal rows are near
@@ -16,32 +17,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelmill.llm import bpe, decontaminate, near_copies, pii, quality
-from pixelmill.llm.common import cut, sweep, written
+from pixelmill.llm.common import cut, sweep, tidy, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking accepts; it learns from the labels of those given."""
+    tidy(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.accepted(docs, quality.fit(docs, labels))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard of 5-word shingles from 0.8, by SimHash and a prefix filter): the one with the smallest doc_id."""
+    tidy(spark)
     return near_copies.one_of_each(docs)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule doesn't reject."""
+    tidy(spark)
     return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars follows the text."""
+    tidy(spark)
     return pii.private(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text that they decode to, as digests."""
+    tidy(spark)
     return bpe.encode_decode(docs)
 
 

@@ -78,9 +78,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that nothing refers to any more."""
+    """Let Spark delete the shuffle files of steps that nothing refers to any more, and executors give back the memory of ended steps."""
     gc.collect()
     spark._jvm.System.gc()
+    shrink(spark)
+
+
+def shrink(spark: SparkSession) -> None:
+    """Have the executors collect garbage, by as many small tasks as they run at once; no result depends on where these land.
+
+    An executor's heap grows with what passes through it and is kept by the machine between
+    steps, as are buffers outside the heap and the code of ended queries; a full collection
+    gives them back, so that they don't add up from stage to stage.
+    """
+    if spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() > 1:  # the driver is one; alone it has collected already
+        slots = spark.sparkContext.defaultParallelism
+        spark.range(0, slots, 1, slots).selectExpr("reflect('java.lang.System', 'gc') gone").collect()
 
 
 def worker_store() -> dict:

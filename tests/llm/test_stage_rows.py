@@ -72,3 +72,32 @@ def test_near_copy_rows(spark):
 def test_private_rows(spark):
     rows = [(1, None), (None, ""), (1, text(1)), (1, text(1)), (None, text(1))]
     assert seen(corpus_pipeline.without_personal_data(spark, table(spark, rows), "")) == sorted(rows, key=repr)
+
+
+def test_each_stage_first_gives_back_memory(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from pixelmill.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "shrink", lambda session: done.append("shrink"))
+    for module, name in ((corpus_pipeline.quality, "fit"), (corpus_pipeline.quality, "accepted"), (corpus_pipeline.near_copies, "one_of_each"), (corpus_pipeline.decontaminate, "uncontaminated"), (corpus_pipeline.pii, "private"), (corpus_pipeline.bpe, "encode_decode")):
+        monkeypatch.setattr(module, name, lambda *given, name=name: done.append(name))
+    for name in ("labels", "benchmark"):
+        spark.range(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        done.clear()
+        stage(spark, spark.range(1), str(tmp_path))
+        assert done[0] == "shrink" and len(done) > 1
+
+
+def test_executors_collect_garbage_in_tasks_of_their_own(spark):
+    from types import SimpleNamespace as Named
+
+    from pixelmill.llm.common import shrink
+
+    ran = []
+    frame = Named(selectExpr=lambda text: Named(collect=lambda: ran.extend(spark.range(0, 6, 1, 6).selectExpr(text).collect())))
+    context = lambda n: Named(_jsc=Named(sc=lambda: Named(getExecutorMemoryStatus=lambda: Named(size=lambda: n))), defaultParallelism=6)
+    for n, rows in ((1, 0), (4, 6)):
+        shrink(Named(sparkContext=context(n), range=lambda *given: frame))
+        assert len(ran) == rows
