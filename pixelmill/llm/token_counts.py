@@ -5,7 +5,10 @@ Byte-pair encoding has exactly one last token t for each prefix: the vocabulary
 that ends there and stands unchanged beside the last token of the prefix before it.
 So c[j] = c[j - len(t)] + 1, and one pass over the word stores the counts of all its
 prefixes. A text's counts are those of its words, added up, so a budget or a
-truncation is answered from the stored counts without encoding again.
+truncation is answered from the stored counts without encoding again. The new words of
+a slice of documents are taken in sorted order, where each starts with what it shares
+with the word before it, so a shared prefix is reckoned once. Words used lately stay
+known: when the younger of two caches is full it takes the place of the older one.
 
 Cutting a text may change how its end is split into words, in three ways that are known
 beforehand: a prefix that ends in white space ends in one word of all of it; half a
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame
 from pixelmill.llm.bpe import SLICE, Encoder, encode_words, read_vocabulary, vocabulary_path
 from pixelmill.llm.common import bounded, by_bytes, worker_store
 
-CACHE = 1_000_000  # pairs of tokens; a quarter as many words
-CACHE_BYTES = 4 << 20  # bytes of the words whose tables are kept, 8 bytes and more for each
+CACHE = 1_000_000  # pairs of tokens; a quarter as many words in each of two caches
+CACHE_BYTES = 4 << 20  # bytes of the words whose tables are kept in each of them, 1 byte for each or 8 in long words
 CONTRACTION = ("'re", "'ve", "'ll")  # fixed values: those of the pre-tokenizer that a cut can halve
 
 
@@ -39,49 +42,107 @@ class PrefixCounts:
         self.base = Encoder(vocabulary)
         added = set(vocabulary["added"].values())
         self.ids = {t: i for i, t in enumerate(vocabulary["tokens"]) if t and i not in added}
-        self.longest = max(map(len, self.ids))
-        self.tails: dict[bytes, tuple[bytes, ...]] = {}
-        self.beside: dict[tuple[bytes, bytes], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.rank = {pair: rank for pair, (rank, _) in self.base.merges.items()}
+        self.made = {rank: made for rank, made in self.base.merges.values()}
+        self.none = len(self.made) + max(self.made, default=0)  # above all ranks
+        self.beside: dict[bytes, dict[bytes, bool]] = {}
+        self.pairs = 0
+        self.known: dict[str, bytes | list[int]] = {}
+        self.older: dict[str, bytes | list[int]] = {}
         self.held = 0
         self.blank = regex.compile(r"\s+").finditer
         # a token that its own encoding splits up can't be a last token
         whole = encode_words(list(self.ids), self.base.merges, self.base.single)
-        self.tokens = {t for t, ids in zip(self.ids, whole, strict=True) if len(ids) == 1}
+        self.tokens = {t: t for t, ids in zip(self.ids, whole, strict=True) if len(ids) == 1}
+        sizes: dict[bytes, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 2:
+                sizes.setdefault(t[-3:], set()).add(len(t))
+        # lengths of the tokens that may end in these three bytes, longest first
+        self.sizes = {end: (*sorted(found, reverse=True), 2, 1) for end, found in sizes.items()}
 
     def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens side by side are their own encoding."""
-        found = self.beside.get((left, right))
-        if found is None:
-            if len(self.beside) > CACHE:
-                self.beside.clear()
-            ids = encode_words([left + right], self.base.merges, self.base.single)[0]
-            found = self.beside[left, right] = ids == [self.ids[left], self.ids[right]]
-        return found
+        """Whether the two tokens side by side are their own encoding: no merge reaches over the edge between them."""
+        symbols = list(map(self.base.single.__getitem__, left + right))
+        edge, rank, none = len(left), self.rank.get, self.none
+        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+        while (least := min(ranks)) < none:
+            k = ranks.index(least)
+            if k == edge - 1:
+                return False
+            edge -= k < edge
+            symbols[k : k + 2] = [self.made[least]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank((symbols[k], symbols[k + 1]), none)
+            if k:
+                ranks[k - 1] = rank((symbols[k - 1], symbols[k]), none)
+        return symbols == [self.ids[left], self.ids[right]]
+
+    def of_words(self, words):
+        """Of each word the number of tokens of its first 0, 1, ... bytes; sorted words share what is reckoned."""
+        count, near, before = [0], [{}], b""  # near: of the last token of a prefix, the tokens tried beside it
+        token_of, sizes_of = self.tokens.get, self.sizes.get
+        for word in words:
+            same = 0
+            for x, y in zip(word, before, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del count[same + 1 :], near[same + 1 :]
+            if self.pairs > CACHE:
+                self.beside, self.pairs = {}, 0
+            for j in range(same + 1, len(word) + 1):
+                for size in sizes_of(word[j - 3 : j], (2, 1)) if j > 2 else (2, 1):
+                    i = j - size
+                    if i < 0 or (token := token_of(word[i:j])) is None:
+                        continue
+                    if i:
+                        tried, left = near[i]
+                        fits = tried.get(token)
+                        if fits is None:
+                            fits = tried[token] = self.fits(left, token)
+                            self.pairs += 1
+                        if not fits:
+                            continue
+                    count.append(count[i] + 1)
+                    found = self.beside.get(token)
+                    if found is None:
+                        found = self.beside[token] = {}
+                    near.append((found, token))
+                    break
+                else:
+                    raise ValueError(f"no token ends at byte {j} of {word!r}")
+            before = word
+            yield bytes(count) if count[-1] < 256 else list(count)
 
     def of_word(self, word: bytes) -> list[int]:
         """Number of tokens of the first 0, 1, ... bytes of a word."""
-        count, last = [0], [b""]
-        tokens, longest, beside = self.tokens, self.longest, self.beside
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - longest), j):
-                token = word[i:j]
-                if token in tokens and (not i or (beside.get((last[i], token)) if (last[i], token) in beside else self.fits(last[i], token))):
-                    count.append(count[i] + 1)
-                    last.append(token)
-                    break
+        return list(next(self.of_words([word])))
+
+    def learn(self, words: set[str]) -> None:
+        """Put the tables of all ``words`` into the younger cache."""
+        if len(self.known) > CACHE // 4 or self.held > CACHE_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+        known, new = self.known, []
+        for w in words - known.keys():
+            if w in self.base.added:
+                known[w] = b"\0\1"
+            elif (found := self.older.get(w)) is not None:
+                known[w] = found
+                self.held += len(found)
             else:
-                raise ValueError(f"no token ends at byte {j} of {word!r}")
-        return count
+                new.append(w)
+        new.sort()  # UTF-8 has the order of code points
+        for w, found in zip(new, self.of_words(map(str.encode, new)), strict=True):
+            known[w] = found
+            self.held += len(found)
 
-    def table(self, word: str) -> list[int]:
+    def table(self, word: str) -> bytes | list[int]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > CACHE // 4 or self.held > CACHE_BYTES:
-                self.known.clear()
-                self.held = 0
-            found = self.known[word] = [0, 1] if word in self.base.added else self.of_word(word.encode())
-            self.held += len(found)
+            self.learn({word})
+            found = self.known[word]
         return found
 
     def count(self, text: str) -> int:
@@ -162,10 +223,11 @@ def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None) ->
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
 
     def body(counts, texts):
-        size, tokens, known = [], [], counts.known.get
-        for text in texts:
-            tokens.append(sum((known(w) or counts.table(w))[-1] for w in counts.base.words(text)))
-            size.append(len(text.encode()))
+        words = [counts.base.words(text) for text in texts]
+        counts.learn(set().union(*words))
+        known = counts.known.__getitem__
+        tokens = [sum([found[-1] for found in map(known, part)]) for part in words]
+        size = [len(text.encode()) for text in texts]
         return pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())
 
     return _mapped(docs, body, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", path)

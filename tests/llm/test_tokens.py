@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pixelmill.llm import token_counts as counting
 from pixelmill.llm.bpe import Encoder, encode_decode, encoded, read_vocabulary
 from pixelmill.llm.token_counts import PrefixCounts, prefix_counts, token_counts, truncated
 
@@ -90,3 +91,24 @@ def test_queries_handle_nulls_and_long_texts(spark, library):
     assert {r.doc_id: len(r.ids) for r in encoded(rows).collect()} == {k: v[0] for k, v in want.items()}
     none = rows.limit(0)
     assert encode_decode(none).count() == token_counts(none).count() == 0
+
+
+def test_words_used_lately_outlive_a_full_cache(library, vocabulary, monkeypatch):
+    monkeypatch.setattr(counting, "CACHE", 80)
+    counts, reckoned, real = PrefixCounts(vocabulary), [], PrefixCounts.of_words
+    monkeypatch.setattr(counts, "of_words", lambda words: real(counts, [reckoned.append(w) or w for w in words]))
+    for k in range(12):
+        counts.learn({" the", " stammering", *(f" rare{k}x{i}" for i in range(30))})
+    assert reckoned.count(b" the") == reckoned.count(b" stammering") == 1
+    assert len(counts.known) + len(counts.older) <= 2 * (80 // 4 + 33)
+    for w in (" the", " stammering", " rare3x7", " rare11x29"):
+        assert counts.count(w) == len(library.encode(w, add_special_tokens=False).ids)
+
+
+def test_sorted_words_share_what_they_begin_with(library, vocabulary):
+    counts = PrefixCounts(vocabulary)
+    words = sorted({w for t in texts(7, 300) for w in counts.base.words(t) if w not in counts.base.added and len(w) < 200})
+    want = [[len(x.ids) for x in library.encode_batch([w[:i] for i in range(1, len(w) + 1)], add_special_tokens=False)] for w in words]
+    for w, found, n in zip(words, counts.of_words(map(str.encode, words)), want, strict=True):
+        assert list(found) == counts.of_word(w.encode())
+        assert found[-1] == n[-1], w
